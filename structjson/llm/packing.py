@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from string import punctuation
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +23,70 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Chunks whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 800_000
 
 
-class _ChunkIds(dict):
-    """Ids of a run of non-space characters, as little-endian unsigned 32-bit bytes."""
+class ChunkIds(dict):
+    """Ids of a run of non-space characters, as little-endian unsigned 32-bit bytes.
+
+    The tokenizer lower-cases and splits letters from punctuation before its
+    merges, so a chunk of letters and a tail of ASCII punctuation is looked up as
+    its lower-cased letters and its tail. Unknown words go to the tokenizer
+    together: each ends with the one token of its own that closes a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, str]:
+        stem = chunk.rstrip(punctuation)
+        if not (stem.isalpha() and (stem.isascii() or is_normalized("NFC", stem)) and "\u03a3" not in stem):
+            return "", ""  # sigma: str.lower() looks at its place in the word
+        return stem.lower(), chunk[len(stem) :]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Make every chunk known."""
+        if len(self) + len(chunks) > CACHE:
+            self.clear()
+        split = {c: self.parts(c) for c in chunks}
+        words = [w for w in {w for w, _ in split.values()} if w and w.isalpha() and w not in self]
+        if words:
+            ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words):
+                buf, at = ids.tobytes(), 0
+                for w, end in zip(words, (4 * ends).tolist()):
+                    self[w] = buf[at:end]
+                    at = end
+        for c, (word, tail) in split.items():
+            if word in self and tail:
+                self[c] = self[word] + self[tail]
+            elif word in self:
+                self[c] = self[word]
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
         self[chunk] = ids
         return ids
 
 
+_known: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """The ids that this process has learned, kept from task to task."""
+    if path not in _known:
+        _known[path] = ChunkIds(path)
+    return _known[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Tokenise each text, end it with ``end_id`` and cut what exceeds ``capacity``.
 
@@ -54,12 +100,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ChunkIds(tokenizer_path)
+        ids = chunk_ids(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                buf = b"".join([ids[c] for c in blanks.split(text) if c]) + end
+                chunks = list(filter(None, blanks.split(text)))
+                if new := {c for c in chunks if c not in ids}:
+                    ids.learn(new)
+                    buf = b"".join([ids[c] for c in chunks]) + end
+                else:
+                    buf = b"".join(map(ids.__getitem__, chunks)) + end
                 for piece, at in enumerate(range(0, len(buf), 4 * capacity)):
                     part = buf[at : at + 4 * capacity]
                     for col, x in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
