@@ -107,13 +107,14 @@ def filter_urls(
     reject_from: float = 0.6,
     suspect: tuple[str, ...] = SUSPECT,
     suspect_weight: float = 10.0,
+    base_rate: float = 0.1,
 ) -> DataFrame:
     """Judge the ``url`` of every row of ``pages``: ``id, url, host, path, rule, template, purity, verdict``.
 
     Where a rule fits, its verdict holds. Elsewhere the host's tree of path
     templates decides: a template is blocked if its share of bad labels, smoothed
-    by ``prior`` labels at its host's rate (itself smoothed towards the overall
-    rate), reaches ``reject_from``. ``labels(id, bad)`` says which rows are known
+    by ``prior`` labels at its host's rate (itself smoothed towards the rate of all
+    labels, and that towards ``base_rate``), reaches ``reject_from``. ``labels(id, bad)`` says which rows are known
     good (0) or bad (1) and may be None; a host word of ``suspect`` counts as
     ``suspect_weight`` bad labels for each of its URLs. A URL without a host is allowed.
 
@@ -130,6 +131,9 @@ def filter_urls(
         known = labels.groupBy(F.col(id_col).alias("_id")).agg(F.avg("bad").alias("_bad"))
         seen = parsed.select("_id", "host", "shape").join(known, "_id")
         strong = seen.groupBy("host", "shape").agg(F.sum("_bad").alias("sb"), F.count("_bad").cast("double").alias("sl"))
+    # One row; host words say nothing about the share of bad URLs overall.
+    sums = (strong.agg(F.sum("sb").alias("gb"), F.sum("sl").alias("gl")) if labels is not None else pages.sparkSession.range(1).select(F.lit(0.0).alias("gb"), F.lit(0.0).alias("gl")))
+    overall = sums.select(((F.coalesce("gb", F.lit(0.0)) + base_rate * prior) / (F.coalesce("gl", F.lit(0.0)) + prior)).alias("rate"))
     shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(weak).alias("weak"))
     if labels is not None:
         shapes = shapes.join(strong, ["host", "shape"], "left").fillna(0.0, ["sb", "sl"])
@@ -137,9 +141,8 @@ def filter_urls(
         shapes = shapes.withColumn("sb", F.lit(0.0)).withColumn("sl", F.lit(0.0))
     shapes = shapes.select("host", "shape", "n", (F.col("weak") + F.col("sb")).alias("bad"), (F.col("weak") + F.col("sl")).alias("labelled"))
     t = _levels(shapes, depth, max_children, min_share, z)
-    total = t.agg(F.sum("bad").alias("gb"), F.sum("labelled").alias("gl"))  # one row
-    by_host = t.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).join(F.broadcast(total)).select(
-        "host", ((F.col("hb") + prior * F.col("gb") / F.greatest("gl", F.lit(1.0))) / (F.col("hl") + prior)).alias("host_rate")
+    by_host = t.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).join(F.broadcast(overall)).select(
+        "host", ((F.col("hb") + prior * F.col("rate")) / (F.col("hl") + prior)).alias("host_rate")
     )
     rates = (
         t.groupBy("host", "template").agg(F.sum("bad").alias("tb"), F.sum("labelled").alias("tl")).join(by_host, "host")
