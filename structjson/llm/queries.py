@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, urls, warc
+from . import embeddings, html, lm, mixing, packing, quality, urls, warc
 from .common import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,16 +38,40 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, labels, URL_RULES)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_quality(docs, labels).select("doc_id", "source", "lang", "q_doc", "q_host", "q_path", "q_score", "q_keep")
+
+
+def op7_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.fit(docs))
+
+
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
     return warc.read_archive(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op5_best_fit_packing, op10_warc_round_trip)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_url_filter, op4_main_text, op5_best_fit_packing, op6_quality_classifier,
+        op7_masked_lm_score, op9_embedding_near_duplicates, op10_warc_round_trip,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
