@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, lm, mixing, packing, quality, urls, warc
+from . import embeddings, html, jaccard, lm, mixing, packing, quality, urls, warc
 from .common import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,6 +56,10 @@ def op7_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, *lm.fit(docs))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), size=4, similarity=0.85)
+
+
 def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -70,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_url_filter, op4_main_text, op5_best_fit_packing, op6_quality_classifier,
-        op7_masked_lm_score, op9_embedding_near_duplicates, op10_warc_round_trip,
+        op7_masked_lm_score, op8_ngram_jaccard_join, op9_embedding_near_duplicates, op10_warc_round_trip,
     )
 }
 
