@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +45,23 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def feature_column(text: pd.Series) -> pd.Series:
-    return text.map(features)
+def with_features(docs: DataFrame, columns: list[str], name: str, weights: np.ndarray | None = None) -> DataFrame:
+    """``columns`` of ``docs`` and the features of ``text`` (with ``weights``: their log odds) as ``name``."""
+    kept = docs.select(*columns)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType() if weights is not None else T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                f = [features(x.as_py()) for x in part.column(part.num_columns - 1)]
+                if weights is None:
+                    new = pa.array(f, pa.list_(pa.float32()))
+                else:
+                    new = pa.array(np.asarray(f, np.float32).astype(float) @ weights[:-1] + weights[-1], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], new], names=schema.names)
+
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -106,7 +121,7 @@ def score_quality(
     """
     cols = [c for c in docs.columns if not c.startswith("q_")]
     slim = written(
-        docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), feature_column(F.col("text").cast("string")).alias("f")), "features"
+        with_features(docs, list(dict.fromkeys(["doc_id", host, path])), "f").select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "f"), "features"
     )
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -133,7 +148,7 @@ def score_quality(
         sites = F.broadcast(sites)
     odds = F.col("_odds")
     score = 1 / (1 + F.exp(-(odds + _logit(F.col("q_path")) - _logit(F.col("mean")))))
-    scored = docs.select(*cols, log_odds(feature_column(F.col("text").cast("string"))).alias("_odds")).join(
+    scored = with_features(docs, cols, "_odds", w).join(
         sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left"
     )
     return scored.select(
