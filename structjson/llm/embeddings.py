@@ -23,7 +23,7 @@ def collision(distance: float, width: float) -> float:
     return 1 - 2 * phi - 2 / (math.sqrt(2 * math.pi) * c) * (1 - math.exp(-c * c / 2))
 
 
-def tables_for(rows: int, threshold: float, width: float, recall: float, per_bucket: int = 32) -> tuple[int, int]:
+def tables_for(rows: int, threshold: float, width: float, recall: float, per_bucket: int = 256) -> tuple[int, int]:
     """Projections a table and tables: buckets of unrelated unit vectors stay near
     ``per_bucket`` rows, and a pair at the threshold meets with chance ``recall``."""
     far, near = collision(math.sqrt(2), width), collision(math.sqrt(max(1e-9, 2 - 2 * threshold)), width)
@@ -69,7 +69,7 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, width: float = 3.0, recall: float = 0.995, seed: int = 0
+    vectors: DataFrame, threshold: float = 0.9, width: float = 3.0, recall: float = 0.98, seed: int = 0
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding)``.
 
@@ -90,7 +90,7 @@ def near_duplicates(
     fine = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fine = F.coalesce(fine & F.exists(e, lambda x: x != 0), F.lit(False))
     zeroed = F.transform(e, lambda x: x + F.lit(0.0))  # -0.0 is 0.0
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(fine, F.xxhash64(zeroed)).alias("k1"), F.when(fine, F.md5(F.to_json(zeroed))).alias("k2"), F.when(fine, e).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.when(fine, F.xxhash64(zeroed)).alias("k1"), F.when(fine, F.md5(F.to_json(zeroed))).alias("k2"), F.when(fine, F.col("embedding")).alias("v"))
     keys = rows.select("vec_id", "k1", "k2")
     classes = keys.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     nodes = written(
