@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, jaccard, lm, mixing, packing, quality, urls, warc
+from . import embeddings, html, images, jaccard, lm, mixing, packing, quality, urls, warc
 from .common import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, labels, URL_RULES)
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images; each vector is rendered as one, so near vectors are edited copies."""
+    return images.image_copies(images.rendered(table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
@@ -73,7 +78,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_source_mixing, op2_url_filter, op4_main_text, op5_best_fit_packing, op6_quality_classifier,
+        op1_source_mixing, op2_url_filter, op3_image_copies, op4_main_text, op5_best_fit_packing, op6_quality_classifier,
         op7_masked_lm_score, op8_ngram_jaccard_join, op9_embedding_near_duplicates, op10_warc_round_trip,
     )
 }
