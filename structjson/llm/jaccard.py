@@ -59,23 +59,32 @@ class Shingler:
     """Sets of hashed word n-grams. Words are runs of other than blank and 9-13, A-Z lower-cased."""
 
     def __init__(self, size: int):
-        self.size, self.words, self.table = size, _Words(), np.zeros(0, np.uint64)
+        self.size = size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.table, self.known = _Words(), np.zeros(0, np.uint64), 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = (text or "").encode().lower().split()
         if not parts:
             return np.zeros(0, np.uint64)
         if len(self.words) > 500_000:
-            self.words, self.table = _Words(), np.zeros(0, np.uint64)
+            self._forget()
         ids = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
-        if len(self.words.hashes) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.words.hashes[len(self.table) :], np.uint64)])
+        known = self.words.hashes
+        if len(known) > self.known:
+            if len(known) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros(max(4096, len(known)), np.uint64)])
+            self.table[self.known : len(known)] = known[self.known :]
+            self.known = len(known)
         h = self.table[ids]
         n = min(self.size, len(h))
+        out = np.full(len(h) - n + 1, _M[4] * n % 2**64, np.uint64)
         with np.errstate(over="ignore"):
-            out = np.full(len(h) - n + 1, _M[4] * n % 2**64, np.uint64)
             for k in range(n):
-                out = (out ^ _mix(h[k : len(h) - n + 1 + k], k)) * np.uint64(_M[k % 7])
+                out *= np.uint64(_M[k % 3])
+                out += h[k : len(h) - n + 1 + k]
         return np.unique(_mix(out))
 
 
@@ -99,32 +108,43 @@ class Bands:
         """Most that similar sets of these sizes differ by."""
         return (a + b) - 2 * (-(-self.num * (a + b) // (self.num + self.den)))
 
-    def count(self, band: int) -> int:
-        """Sketch bands for pairs whose smaller set is of size band ``band``."""
+    def count(self, band: int) -> tuple[int, int]:
+        """Sketch bands for pairs whose smaller set is of size band ``band``, and the most of them that differ."""
         high = self.lows[band + 1] - 1
         other = self.den * high // self.num
-        return max(self.bound(high, other - k) for k in range(3)) + 1  # the bound is not quite monotone
+        most = max(self.bound(high, other - k) for k in range(3))  # the bound is not quite monotone
+        return most + 1 + most // 5, most
 
     def of(self, n: int) -> range:
         """The size bands in which a set of ``n`` meets its partners."""
         return range(self.index(self.smallest(n)), self.index(n) + 1)
 
 
-def band_keys(shingles: np.ndarray, band: int, count: int, seed: int = 0) -> np.ndarray:
-    """One key for each of ``count`` bands of a sparse parity sketch of ``count`` * 2**20 bits."""
+def band_keys(shingles: np.ndarray, band: int, count: int, most: int, seed: int = 0) -> np.ndarray:
+    """Keys of the ``count`` bands of a sparse parity sketch of ``count`` * 2**20 bits.
+
+    Similar sets differ in ``most`` bands at most, so they agree on ``count - most``
+    or more. Bands with fewer than two odd bits say little and are shared by many;
+    a set with fewer of those than it must agree on leaves them out, for one of the
+    bands agreed on has more. (Where a partner keeps them, that is by its own count.)
+    """
     h = _mix(shingles, seed + 11)
     at = (h % np.uint64(count)) * np.uint64(1 << 20) + (h >> np.uint64(44))
     bits, times = np.unique(at, return_counts=True)
     bits = bits[times % 2 == 1]
     which = (bits >> np.uint64(20)).astype(np.int64)
     keys = _mix(np.arange(count, dtype=np.uint64) + np.uint64(band << 32), seed + 23)
-    np.bitwise_xor.at(keys, which, _mix(bits, seed + 37))
-    return keys
+    odd = np.bincount(which, minlength=count)
+    cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
+    if len(cuts):
+        keys[which[cuts]] ^= np.bitwise_xor.reduceat(_mix(bits, seed + 37), cuts)
+    poor = odd < 2
+    return keys[~poor] if poor.sum() < count - most else keys
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
-    """A parity sketch of 64 bits or more, about one for each n-gram; halves fold onto each other by XOR."""
-    size = max(64, 1 << math.ceil(math.log2(max(1, len(shingles)))))
+    """A parity sketch of 64 bits or more, two to four for each n-gram; halves fold onto each other by XOR."""
+    size = max(64, 2 << math.ceil(math.log2(max(1, len(shingles)))))
     odd = np.bincount((_mix(shingles, 5) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -147,17 +167,17 @@ def _batch(schema: str, cols: list) -> pa.RecordBatch:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, k1, k2``: set size and 128-bit digest of the set."""
-    schema = "doc_id long, n long, k1 long, k2 long"
+    """``doc_id, n, k1, k2, sketch``: set size, 128-bit digest of the set, dense sketch."""
+    schema = "doc_id long, n long, k1 long, k2 long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            out = [[], [], []]
+            out = [[], [], [], []]
             for text in batch.column(1):
                 s = shingler(text.as_py())
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                for c, x in zip(out, (len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))):
+                for c, x in zip(out, (len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), dense_sketch(s))):
                     c.append(x)
             yield _batch(schema, [batch.column(0), *out])
 
@@ -175,7 +195,7 @@ def _key_rows(texts: DataFrame, size: int, bands: tuple[int, int]) -> DataFrame:
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingler(text.as_py())
                 for band in b.of(len(s)):
-                    k = band_keys(s, band, b.count(band))
+                    k = band_keys(s, band, *b.count(band))
                     keys.append(k.view(np.int64))
                     reps.append(np.full(len(k), rep))
                     ns.append(np.full(len(k), len(s), np.int32))
@@ -367,17 +387,14 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     sig = written(signatures(docs, size), "signatures")
     classes = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    chosen = sig.join(classes, ["k1", "k2"]).where("doc_id = rep").select("rep").distinct()
+    sketches = written(
+        sig.join(classes, ["k1", "k2"]).where("doc_id = rep").select("rep", F.col("n").cast("int").alias("n"), "sketch", "k1", "k2")
+        .dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "sketches"
+    )
+    chosen = sketches.select("rep").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts, drop_texts = _bucketed(source, chosen)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        for batch in batches:
-            sets = [shingler(t.as_py()) for t in batch.column(1)]
-            yield _batch("rep long, n int, sketch binary", [batch.column(0), [len(s) for s in sets], [dense_sketch(s) for s in sets]])
-
-    sketches = written(texts.mapInArrow(sketch, "rep long, n int, sketch binary").where("n > 0"), "sketches")
     shared = written(_shared_keys(_key_rows(texts, size, (num, den)), num, den), "keys")
     _release(spark)
     near = (F.col("n") * den >= F.col("first_n") * num) & (F.col("first_n") * den >= F.col("n") * num)
@@ -395,7 +412,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     sets = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("size"))
     wide = written(shared.join(sets.where("size > 2").groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size"), "key").select("key", "rep", "n", "size"), "keys")
     drop_written(shared)
-    most = 8
+    most = 1
     for _ in range(max_rounds):
         parts = written(components(links), "parts")
         placed = wide.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
