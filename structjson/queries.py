@@ -59,13 +59,13 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _query(name: str, docs: str, body: str | None, raw_sql: str | None = None):
+def _query(name: str, docs: str, body: str | None, raw_sql: str | None = None, only: list[str] | None = None):
     """Registers a query of ``(docs, tokens)``."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             d = (events if docs == "E" else orders)(spark, sf_dir)
-            return f(d, index_json(d))
+            return f(d, index_json(d, only_keys=only))
 
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run
@@ -84,20 +84,20 @@ def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["find_eq_events"] = _flagship
 ORACLE_SQL["find_eq_events"] = _sql("E", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'k' AND trim(vt, '\"') = '69'")
 
-_query("find_eq_nested", "O", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'flag' AND vt = '\"R\"'")(
+_query("find_eq_nested", "O", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'flag' AND vt = '\"R\"'", only=["flag"])(
     lambda d, t: core.find_eq(t, "flag", "R"))
-_query("find_eq_type_blind", "O", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'n' AND trim(vt, '\"') = '2'")(
+_query("find_eq_type_blind", "O", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'n' AND trim(vt, '\"') = '2'", only=["n"])(
     lambda d, t: core.find_eq(t, "n", "2"))
-_query("find_num_eq", "O", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'n' AND try_cast(vt AS DOUBLE) = 2")(
+_query("find_num_eq", "O", "SELECT doc_id, tok AS key_tok, parent AS tok FROM toks WHERE key = 'n' AND try_cast(vt AS DOUBLE) = 2", only=["n"])(
     lambda d, t: core.find_num_eq(t, "n", "2.0"))
 _query("find_eq_compound_nested", "O", """SELECT a.doc_id, a.tok AS key_tok, a.parent AS tok FROM toks a WHERE a.key = 'n'
  AND EXISTS (SELECT 1 FROM toks b WHERE b.doc_id = a.doc_id AND b.parent = a.parent AND b.key = 'n' AND b.vt = '1')
- AND EXISTS (SELECT 1 FROM toks b WHERE b.doc_id = a.doc_id AND b.parent = a.parent AND b.key = 'flag' AND b.vt = '"A"')""")(
+ AND EXISTS (SELECT 1 FROM toks b WHERE b.doc_id = a.doc_id AND b.parent = a.parent AND b.key = 'flag' AND b.vt = '"A"')""", only=["n", "flag"])(
     lambda d, t: core.find_eq_compound(t, [("n", "1"), ("flag", "A")]))
-_query("count_key", "O", "SELECT doc_id, count(*) FILTER (WHERE key = 'n') AS n FROM toks GROUP BY doc_id")(lambda d, t: core.count_key(d, t, "n"))
-_query("has_key", "E", "SELECT doc_id, coalesce(bool_or(key = 'k'), false) AS has_key FROM toks GROUP BY doc_id")(lambda d, t: core.has_key(d, t, "k"))
+_query("count_key", "O", "SELECT doc_id, count(*) FILTER (WHERE key = 'n') AS n FROM toks GROUP BY doc_id", only=["n"])(lambda d, t: core.count_key(d, t, "n"))
+_query("has_key", "E", "SELECT doc_id, coalesce(bool_or(key = 'k'), false) AS has_key FROM toks GROUP BY doc_id", only=["k"])(lambda d, t: core.has_key(d, t, "k"))
 _query("keys_seen", "O", "SELECT doc_id, key, min(tok) AS first_tok FROM toks WHERE key IS NOT NULL GROUP BY ALL")(lambda d, t: core.keys_seen(t))
-_query("keys_named_depth", "O", "SELECT doc_id, tok FROM toks WHERE key = 'flag' AND depth = 3")(lambda d, t: core.keys_named(t, "flag", 3))
+_query("keys_named_depth", "O", "SELECT doc_id, tok FROM toks WHERE key = 'flag' AND depth = 3", only=["flag"])(lambda d, t: core.keys_named(t, "flag", 3))
 _query("keys_named_in", "O", """SELECT t.doc_id, r.tok AS root, t.tok FROM toks t JOIN toks r ON t.doc_id = r.doc_id AND t.key = 'n'
  AND r.t = '[' AND t.tok BETWEEN r.tok AND r.close_of""")(lambda d, t: core.keys_named_in(t, "n", t.where("raw_kind = '['")))
 _KIND = """CASE t WHEN '{' THEN 'Object' WHEN '[' THEN 'Array' WHEN '}' THEN 'ObjectEnd' WHEN ']' THEN 'ArrayEnd' WHEN ':' THEN NULL WHEN ',' THEN NULL
@@ -121,7 +121,7 @@ _query("field_of", "O", "SELECT doc_id, parent, min(tok) + 2 AS tok FROM toks WH
 _query("children", "O", "SELECT t.doc_id, t.tok FROM toks t JOIN toks r ON t.doc_id = r.doc_id AND t.parent = r.tok AND r.t = '['")(
     lambda d, t: core.children(t, t.where("raw_kind = '['")))
 _query("descend_by_key", "O", """SELECT t.doc_id, t.tok FROM toks t JOIN toks r ON t.doc_id = r.doc_id AND r.t = '[' AND t.tok BETWEEN r.tok AND r.close_of
- WHERE t.key = 'flag'""")(lambda d, t: OpPlan().by_key("lines").field("x").run(t).union(OpPlan().all().field("lines").descend().by_key("flag").run(t)))
+ WHERE t.key = 'flag'""")(lambda d, t: OpPlan().all().field("lines").descend().by_key("flag").run(t))
 _query("within", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' AND tok BETWEEN 0 AND 20")(
     lambda d, t: OpPlan().by_key("n").within(0).run(t).where("tok <= 20"))
 _query("plan_and", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' AND depth = 3")(lambda d, t: OpPlan().push(And(LoadKey("n"), LoadDepth(3))).run(t))

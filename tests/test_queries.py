@@ -9,7 +9,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 def _plain(v) -> str:
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or str(v) in ("<NA>", "nan", "None"):
         return ""
     return str(v) if isinstance(v, (str, bool)) else f"{float(v):g}"
 
