@@ -157,7 +157,8 @@ def classify(blocks: list[Block], short: int = 70, low: float = 0.20, high: floa
     mostly links, is bad; other text of the article element is good; elsewhere
     length and stop-word density decide, and leave short blocks open and middling
     ones near good. Second pass: an open block takes the label of its nearest decided
-    neighbours, good if they agree on it, and for near good ones if either is.
+    neighbours, good if they agree on it, and for near good ones if either is; at an
+    end of the page the missing neighbour agrees, unless the block holds links.
     """
     has_main = any(b.main and not b.bad for b in blocks)
     for b in blocks:
@@ -193,6 +194,7 @@ def classify(blocks: list[Block], short: int = 70, low: float = 0.20, high: floa
             elif b.heading and right[i] == "good":
                 b.label = "good"
             else:
+                near += ["bad"] * (b.linked > 0 and len(near) < 2)  # links at an end of the page
                 b.label = "good" if near and ("good" in near if b.label == "near" else set(near) == {"good"}) else "bad"
     return blocks
 
