@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Most sources whose shares are held in one row while the exponent is sought.
 MAX_SOURCES = 1_000_000
+#: Quotas of up to this many sources are broadcast to the documents.
+SMALL_PLAN = 100_000
 
 
 def token_count(text: Column) -> Column:
@@ -87,7 +91,8 @@ def mix(
     """
     cols = [c for c in docs.columns if not c.startswith("mix_")]
     base = docs.select(*cols, token_count(F.col("text")).alias("mix_tokens"), order_hash(seed, F.coalesce(F.col("doc_id"), F.lit(-1))).alias("_h"))
-    slim = base.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "mix_tokens", "_h")
+    # Read several times below, so counted once.
+    slim = written(base.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "mix_tokens", "_h"), "sizes")
     sizes = slim.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs"))
     weights = source_weights(sizes, target_entropy, max_repeats)
     need = weights.agg(F.max(F.ceil(F.col("tokens") / F.col("weight"))).cast("long").alias("least"))
@@ -111,6 +116,9 @@ def mix(
     run = F.sum("ht").over(Window.partitionBy("source", "block").orderBy("_h"))
     cut = inside.withColumn("run", run).where("run > room").groupBy("source").agg(F.min("_h").alias("cut"))
     plan = quota.join(cut, "source", "left").select(F.col("source").alias("_s"), "weight", "epochs", "_width", F.coalesce("cut", F.lit(0)).alias("_cut"))
+    plan = written(plan, "quotas")
+    if plan.count() <= SMALL_PLAN:
+        plan = F.broadcast(plan)
     times = F.col("epochs") + (F.col("_h") < F.col("_cut")).cast("long")
     chosen = (
         base.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(plan, "_s", "left")
