@@ -124,9 +124,10 @@ def band_keys(shingles: np.ndarray, band: int, count: int, most: int, seed: int
     """Keys of the ``count`` bands of a sparse parity sketch of ``count`` * 2**20 bits.
 
     Similar sets differ in ``most`` bands at most, so they agree on ``count - most``
-    or more. Bands with fewer than two odd bits say little and are shared by many;
-    a set with fewer of those than it must agree on leaves them out, for one of the
-    bands agreed on has more. (Where a partner keeps them, that is by its own count.)
+    or more. Bands with few odd bits say little and are shared by many; where a set
+    has fewer bands below 3, 2 or 1 odd bits than it must agree on, it leaves them
+    out, for one of the bands agreed on has that many. Of two partners, the band that
+    the stricter one is sure of is kept by the other too.
     """
     h = _mix(shingles, seed + 11)
     at = (h % np.uint64(count)) * np.uint64(1 << 20) + (h >> np.uint64(44))
@@ -138,8 +139,11 @@ def band_keys(shingles: np.ndarray, band: int, count: int, most: int, seed: int
     cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
     if len(cuts):
         keys[which[cuts]] ^= np.bitwise_xor.reduceat(_mix(bits, seed + 37), cuts)
-    poor = odd < 2
-    return keys[~poor] if poor.sum() < count - most else keys
+    for least in (3, 2, 1):
+        poor = odd < least
+        if poor.sum() < count - most:
+            return keys[~poor]
+    return keys
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
