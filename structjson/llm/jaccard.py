@@ -3,10 +3,12 @@
 A document's set of word n-grams is XOR-hashed into a bit sketch: each n-gram
 flips one bit. The Hamming distance of two sketches is never more than the
 symmetric difference of the sets, which the similarity threshold bounds for sets
-of a size band. So if a sketch is cut into one band more than that bound, two
-similar documents agree on a whole band of it (pigeonhole); those bands, kept
-sparse as hashes of their odd bits, are the join keys. A narrower dense sketch
-then discards candidates by its own Hamming distance, and the sets decide.
+of a size band. So if a sketch is cut into more bands than that bound, two similar
+documents agree on the bands beyond it (pigeonhole); those bands, kept sparse as
+hashes of their odd bits, are the join keys. As similar documents agree on several,
+each leaves out the bands that say least and then its most frequent keys, as many
+as cannot be all that two agree on. A narrower dense sketch then discards
+candidates by its own Hamming distance, and the sets decide.
 
 A key may be shared by many documents. Each is first compared with the first of
 its key only, which joins large groups of copies in linear time. Then keys whose
@@ -24,13 +26,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop_path, drop_written, fresh_path, written
 
 #: Rows of a key that one task holds when it compares across components.
 BLOCK = 4000
+#: More than there are size bands; a power of 2.
+SIZE_BANDS = 128
 _M = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -108,26 +112,32 @@ class Bands:
         """Most that similar sets of these sizes differ by."""
         return (a + b) - 2 * (-(-self.num * (a + b) // (self.num + self.den)))
 
-    def count(self, band: int) -> tuple[int, int]:
-        """Sketch bands for pairs whose smaller set is of size band ``band``, and the most of them that differ."""
+    def most(self, band: int) -> int:
+        """Most that similar sets differ by if the smaller is of size band ``band``."""
         high = self.lows[band + 1] - 1
         other = self.den * high // self.num
-        most = max(self.bound(high, other - k) for k in range(3))  # the bound is not quite monotone
-        return most + 1 + most // 5, most
+        return max(self.bound(high, other - k) for k in range(3))  # the bound is not quite monotone
+
+    def spare(self, band: int) -> int:
+        """Of its keys, the most frequent that a set may leave out."""
+        return self.most(band) // 8
+
+    def count(self, band: int) -> tuple[int, int]:
+        """Sketch bands in all, and those that each set keeps; two similar sets agree on over ``spare`` of these."""
+        most = self.most(band)
+        return most + 1 + most // 3, most + 1 + self.spare(band)
 
     def of(self, n: int) -> range:
         """The size bands in which a set of ``n`` meets its partners."""
         return range(self.index(self.smallest(n)), self.index(n) + 1)
 
 
-def band_keys(shingles: np.ndarray, band: int, count: int, most: int, seed: int = 0) -> np.ndarray:
-    """Keys of the ``count`` bands of a sparse parity sketch of ``count`` * 2**20 bits.
+def band_keys(shingles: np.ndarray, band: int, count: int, kept: int, seed: int = 0) -> np.ndarray:
+    """The ``kept`` richest keys of the ``count`` bands of a sparse parity sketch of ``count`` * 2**20 bits.
 
-    Similar sets differ in ``most`` bands at most, so they agree on ``count - most``
-    or more. Bands with few odd bits say little and are shared by many; where a set
-    has fewer bands below 3, 2 or 1 odd bits than it must agree on, it leaves them
-    out, for one of the bands agreed on has that many. Of two partners, the band that
-    the stricter one is sure of is kept by the other too.
+    A key's low bits are the size band. Richest have most odd bits; the keys break
+    ties, so all sets order the keys alike. Two sets that differ in ``m`` bands at
+    most then agree on ``kept - m`` of their richest keys or more.
     """
     h = _mix(shingles, seed + 11)
     at = (h % np.uint64(count)) * np.uint64(1 << 20) + (h >> np.uint64(44))
@@ -139,11 +149,8 @@ def band_keys(shingles: np.ndarray, band: int, count: int, most: int, seed: int
     cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
     if len(cuts):
         keys[which[cuts]] ^= np.bitwise_xor.reduceat(_mix(bits, seed + 37), cuts)
-    for least in (3, 2, 1):
-        poor = odd < least
-        if poor.sum() < count - most:
-            return keys[~poor]
-    return keys
+    keys = (keys & ~np.uint64(SIZE_BANDS - 1)) | np.uint64(band)
+    return keys[np.lexsort((keys, -odd))[:kept]]
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
@@ -213,7 +220,42 @@ def _key_rows(texts: DataFrame, size: int, bands: tuple[int, int]) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, schema)
 
 
-def _shared_keys(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _telling_keys(rows: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """``rows`` without keys that one document has, and without the ``spare`` most frequent
+    of each document and size band.
+
+    Similar documents share more than ``spare`` keys of a size band. All documents
+    order them alike, so the rarest that two share is among the most frequent of neither.
+    """
+    schema = "key long, rep long, n int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = Bands(*bands)
+        spare = np.array([b.spare(k) for k in range(len(b.lows) - 1)])
+        last, place = None, 0  # the last (rep, size band, key) and its place in its group
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, rep, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            band = key & (SIZE_BANDS - 1)
+            group = np.r_[True, (rep[1:] != rep[:-1]) | (band[1:] != band[:-1])]
+            other = group | np.r_[True, key[1:] != key[:-1]]  # a document with several texts may repeat a key
+            before = 0
+            if last is not None and last[:2] == (rep[0], band[0]):
+                group[0], other[0], before = False, last[2] != key[0], place + 1
+            step = np.cumsum(other)
+            at = np.maximum.accumulate(np.where(group, np.arange(len(key)), -1))
+            places = np.where(at < 0, before - 1 + step, step - step[np.maximum(at, 0)])
+            last, place = (rep[-1], band[-1], key[-1]), places[-1]
+            keep = places >= spare[band]
+            if keep.any():
+                yield _batch(schema, [key[keep], rep[keep], n[keep]])
+
+    many = rows.withColumn("docs", F.count("*").over(Window.partitionBy("key"))).where("docs > 1")
+    return many.repartition("rep").sortWithinPartitions("rep", F.col("key").bitwiseAND(SIZE_BANDS - 1), F.desc("docs"), F.desc("key")).mapInArrow(run, schema)
+
+
+def _shared_keys(rows: DataFrame) -> DataFrame:
     """``key, rep, n, first, first_n`` of the keys that several documents have; ``first`` is the smallest."""
     schema = "key long, rep long, n int, first long, first_n int"
 
@@ -399,7 +441,10 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts, drop_texts = _bucketed(source, chosen)
 
-    shared = written(_shared_keys(_key_rows(texts, size, (num, den)), num, den), "keys")
+    telling = written(_telling_keys(_key_rows(texts, size, (num, den)), (num, den)), "keys")
+    _release(spark)
+    shared = written(_shared_keys(telling), "keys")
+    drop_written(telling)
     _release(spark)
     near = (F.col("n") * den >= F.col("first_n") * num) & (F.col("first_n") * den >= F.col("n") * num)
     star = shared.where(near & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()

@@ -192,6 +192,9 @@ def test_sketches_bound_differences():
     bands = jaccard.Bands(17, 20)
     count, most = bands.count(bands.index(len(b)))
     assert len(np.intersect1d(jaccard.band_keys(a, 3, count, most), jaccard.band_keys(b, 3, count, most))) >= 1
+    band = bands.index(280)
+    shared = np.intersect1d(jaccard.band_keys(a, band, *bands.count(band)), jaccard.band_keys(b, band, *bands.count(band)))
+    assert bands.bound(len(a), len(b)) >= len(np.setxor1d(a, b)) and len(shared) > bands.spare(band) > 0
 
 
 def test_embeddings_equal_brute_force(spark):
