@@ -11,6 +11,8 @@ from .common import written
 MAX_SOURCES = 1_000_000
 #: Quotas of up to this many sources are broadcast to the documents.
 SMALL_PLAN = 100_000
+#: Parts into which a join with more quotas than that cuts each source.
+SALTS = 64
 
 
 def token_count(text: Column) -> Column:
@@ -107,17 +109,27 @@ def mix(
     block_of = F.expr("_h div _width")
     quota = quota.withColumn("_width", F.ceil(F.lit(span) / blocks).cast("long"))
     # The permutation's prefix: sums by block, then hashes of the one block that the rest ends in.
-    keyed = slim.join(quota, "source").withColumn("block", block_of)
+    # No join may deal documents out by source alone, as one source may have a third of them.
+    quota = written(quota, "shares")
+    small = quota.count() <= SMALL_PLAN
+    if small:
+        keyed = slim.join(F.broadcast(quota), "source")
+    else:
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        keyed = slim.withColumn("_salt", F.col("_h") % SALTS).join(quota.select("*", salts.alias("_salt")), ["source", "_salt"])
+    keyed = keyed.withColumn("block", block_of)
     sums = keyed.groupBy("source", "block", "rest").agg(F.sum("mix_tokens").alias("bt"))
     upto = F.sum("bt").over(Window.partitionBy("source").orderBy("block"))
     last = sums.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min_by(F.struct("block", (F.col("rest") - F.col("upto") + F.col("bt")).alias("room")), "block").alias("e"))
     edge = last.select("source", F.col("e.block").alias("block"), F.col("e.room").alias("room"))
+    if small:
+        edge = F.broadcast(edge)
     inside = keyed.join(edge, ["source", "block"]).groupBy("source", "block", "room", "_h").agg(F.sum("mix_tokens").alias("ht"))
     run = F.sum("ht").over(Window.partitionBy("source", "block").orderBy("_h"))
     cut = inside.withColumn("run", run).where("run > room").groupBy("source").agg(F.min("_h").alias("cut"))
     plan = quota.join(cut, "source", "left").select(F.col("source").alias("_s"), "weight", "epochs", "_width", F.coalesce("cut", F.lit(0)).alias("_cut"))
     plan = written(plan, "quotas")
-    if plan.count() <= SMALL_PLAN:
+    if small:
         plan = F.broadcast(plan)
     times = F.col("epochs") + (F.col("_h") < F.col("_cut")).cast("long")
     chosen = (

@@ -48,6 +48,16 @@ def test_mixing_uses_every_document_and_bounds_repeats(spark):
     assert mixing.mix(d.limit(0), max_repeats=2.0).count() == 0
 
 
+def test_mixing_is_the_same_with_quotas_too_many_to_broadcast(spark, monkeypatch):
+    rows = [(i, "a b c" * (1 + i % 3), "big" if i < 300 else f"s{i % 7}" if i < 360 else None) for i in range(380)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"target_entropy": 0.9, "budget": 900, "block_docs": 20}
+    broadcast = sorted(mixing.mix(d, **options).collect(), key=str)
+    monkeypatch.setattr(mixing, "SMALL_PLAN", 0)
+    assert sorted(mixing.mix(d, **options).collect(), key=str) == broadcast
+    assert 0 < len(broadcast) < len(rows) * 20
+
+
 def test_urls(spark):
     rows = [
         (1, "https://A.Example.net/en/5?x=1"), (2, "http://x.net"), (3, "http://net/"), (4, None), (5, "nourl"), (6, "http://q.example.com/de/1"),
