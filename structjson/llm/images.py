@@ -2,13 +2,14 @@
 
 Corners are found on a small pyramid, each is given the direction of its patch's
 centroid and 128 binary tests in a pattern turned to it. Descriptors meet in Hamming
-tables (32-bit slices: two within a distance of 3 share a slice); images that meet
-often enough are matched corner by corner, and are copies when a similarity
+tables (32-bit slices: two within a distance of 3 share a slice); all pairs of images
+that meet often enough are matched corner by corner, and are copies when a similarity
 transform explains enough of the matches, so crops, turns and edits still match.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ _rng = np.random.default_rng(7)
 TESTS = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS, RADIUS)
 _YX = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RADIUS + 1), indexing="ij"), -1).reshape(-1, 2)
 _DISC = _YX[(_YX**2).sum(1) <= RADIUS**2]
-FEATURES = "image_id long, places array<float>, bits binary"
+FEATURES = "image_id long, places array<float>, bits binary, digest binary"
+#: Images of a block; each pair of blocks is compared by one task.
+BLOCK = 16384
 
 
 def _blur(x: np.ndarray, times: int = 1) -> np.ndarray:
@@ -120,9 +123,9 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
 
 def image_features(images: DataFrame, corners: int = CORNERS) -> DataFrame:
-    """``image_id, places, bits`` of every row of ``images(image_id, width, height, pixels)``; 8-bit grey pixels by rows.
+    """``image_id, places, bits, digest`` of every row of ``images(image_id, width, height, pixels)``; 8-bit grey pixels by rows.
 
-    Null pixels, or other than width * height of them, give no descriptors.
+    Null pixels, or other than width * height of them, give no descriptors and no digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,94 +133,162 @@ def image_features(images: DataFrame, corners: int = CORNERS) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, ws, hs, data = (part.column(k).to_pylist() for k in range(4))
-                places, bits = [[] for _ in ids], [b"" for _ in ids]
+                places, bits, digests = [[] for _ in ids], [b"" for _ in ids], [None for _ in ids]
                 shapes: dict[tuple, list[int]] = {}
                 for k, (w, h, x) in enumerate(zip(ws, hs, data)):
                     if x is not None and w and h and len(x) == w * h:
                         shapes.setdefault((h, w), []).append(k)
+                        digests[k] = hashlib.blake2b(b"%d %d " % (w, h) + x, digest_size=16).digest()
                 for shape, which in shapes.items():
                     stack = np.stack([np.frombuffer(data[k], np.uint8).reshape(shape) for k in which])
                     for k, (p, d) in zip(which, describe(stack, corners)):
                         places[k], bits[k] = p.ravel().tolist(), d.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.list_(pa.float32())), pa.array(bits, pa.binary())], ["image_id", "places", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.list_(pa.float32())), pa.array(bits, pa.binary()), pa.array(digests, pa.binary())], ["image_id", "places", "bits", "digest"])
 
     return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").mapInArrow(run, FEATURES)
 
 
-def _same_image(matched: int, explained: float):
+def _slots(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the Hamming tables and the image, by place in ``bits``, that is in each; by slot."""
+    keys = [np.unique(x.view(">u4").astype(np.int64) | (np.arange(BITS // 32) << 32)) for x in bits]
+    slot = np.concatenate(keys)
+    who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(slot, kind="stable")
+    return slot[order], who[order]
+
+
+def _padded(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Descriptors as words ``(images, corners, 2)``, and 255 at the corners that an image lacks."""
+    words = np.zeros((len(bits), max(map(len, bits)), BITS // 64), np.uint64)
+    lacks = np.full(words.shape[:2], 255, np.uint8)
+    for k, x in enumerate(bits):
+        words[k, : len(x)] = x.view(np.uint64)
+        lacks[k, : len(x)] = 0
+    return words, lacks
+
+
+def _points(places: list[np.ndarray], width: int) -> np.ndarray:
+    """Corners as complex numbers ``(images, width)``."""
+    out = np.zeros((len(places), width), np.complex64)
+    for k, p in enumerate(places):
+        out[k, : len(p)] = p[:, 0] + 1j * p[:, 1]
+    return out
+
+
+def _explained(p: np.ndarray, q: np.ndarray, pixels: float = 2.5) -> np.ndarray:
+    """As in :func:`consensus`, how many of its matches ``p, q`` one transform explains; a row is a pair of images."""
+    u, v = np.triu_indices(p.shape[1], 1)
+    gap = p[:, u] - p[:, v]
+    far = np.abs(gap) > 4
+    m = (q[:, u] - q[:, v]) / np.where(far, gap, 1)
+    sane = far & (np.abs(m) > 0.3) & (np.abs(m) < 3.4)
+    off = q[:, u] - m * p[:, u]
+    near = np.abs(m[:, :, None] * p[:, None] + off[:, :, None] - q[:, None]) <= pixels
+    return np.where(sane, near.sum(2), 0).max(1)
+
+
+def _met(a: tuple, b: tuple, rows: slice, size: int, votes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of images, those of ``a`` in ``rows``, that share ``votes`` slots; ``size`` is the number of images of ``b``."""
+    some = (a[1] >= rows.start) & (a[1] < rows.stop)
+    slot, who = a[0][some], a[1][some]
+    low, high = np.searchsorted(b[0], slot), np.searchsorted(b[0], slot, "right")
+    n = high - low
+    at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+    count = np.bincount(np.repeat(who - rows.start, n) * size + b[1][at], minlength=1)
+    i, j = np.divmod(np.flatnonzero(count >= votes), size)
+    return i + rows.start, j
+
+
+def _copies(first: list[tuple], second: list[tuple] | None, votes: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
+    """Copies among images ``(id, places, bits)`` of two blocks, or of one; pairs already connected by others are left out."""
+    one = second is None
+    second = first if one else second
+    da, db = [x[2] for x in first], [x[2] for x in second]
+    (wa, la), (wb, lb) = _padded(da), _padded(db)
+    pa_, pb = (_points([x[1] for x in side], w.shape[1]) for side, w in ((first, wa), (second, wb)))
+    sa, sb = _slots(da), _slots(db)
+    shift = 0 if one else len(first)
+    root = np.arange(shift + len(second))
+    # Bounded by the counts that `_met` holds, and by the distances held for each pair.
+    step, pairs = max(1, (1 << 22) // len(second)), max(1, (1 << 20) // (wa.shape[1] * wb.shape[1]))
+    for row in range(0, len(first), step):
+        met, other = _met(sa, sb, slice(row, row + step), len(second), votes)
+        if one:
+            met, other = met[met < other], other[met < other]
+        for at in range(0, len(met), pairs):
+            u, v = met[at : at + pairs], other[at : at + pairs]
+            new = root[u] != root[v + shift]
+            u, v = u[new], v[new]
+            d = np.bitwise_count(wa[u][:, :, None, 0] ^ wb[v][:, None, :, 0])
+            for k in range(1, BITS // 64):
+                d += np.bitwise_count(wa[u][:, :, None, k] ^ wb[v][:, None, :, k])
+            d |= la[u][:, :, None] | lb[v][:, None, :]
+            j_of, i_of = d.argmin(2), d.argmin(1)
+            good = (np.take_along_axis(i_of, j_of, 1) == np.arange(d.shape[1])) & (np.take_along_axis(d, j_of[:, :, None], 2)[:, :, 0] <= hamming)
+            n = good.sum(1)
+            for size in np.unique(n[n >= max(2, matched)]).tolist():
+                of = np.flatnonzero(n == size)
+                i = np.nonzero(good[of])[1].reshape(-1, size)
+                inside = _explained(pa_[u[of][:, None], i], pb[v[of][:, None], np.take_along_axis(j_of[of], i, 1)])
+                for k in of[(inside >= matched) & (inside >= explained * size)].tolist():
+                    x, y = int(u[k]), int(v[k])
+                    if root[x] != root[y + shift]:
+                        root[root == root[y + shift]] = root[x]
+                        yield first[x][0], second[y][0]
+
+
+def _block_copies(votes: int, matched: int, explained: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def feature(p, d):
-            return np.asarray(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)
+        def linked(key, held):
+            one, two = ([x[1:] for x in held if x[0] == own] for own in key)
+            if one and two:
+                found = list(_copies(one, None if key[0] == key[1] else two, votes, matched, explained))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
+        now, held = None, []
         for batch in batches:
-            keep = []
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
-            for k, (p1, d1, p2, d2) in enumerate(rows):
-                n, inside = consensus(feature(p1, d1), feature(p2, d2))
-                if inside >= matched and inside >= explained * n:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
+            for b1, b2, own, i, p, d in zip(*(c.to_pylist() for c in batch.columns)):
+                if (b1, b2) != now:
+                    if held:
+                        yield from linked(now, held)
+                    now, held = (b1, b2), []
+                held.append((own, i, np.asarray(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)))
+        if held:
+            yield from linked(now, held)
 
     return run
 
 
-def image_copies(images: DataFrame, votes: int = 2, matched: int = 6, explained: float = 0.5, max_rounds: int = 4, corners: int = CORNERS) -> DataFrame:
+def image_copies(images: DataFrame, votes: int = 2, matched: int = 6, explained: float = 0.5, corners: int = CORNERS, block: int = BLOCK) -> DataFrame:
     """``image_id, n_corners, component_id`` of every row of ``images(image_id, width, height, pixels)``.
 
-    ``component_id`` is the smallest id that copies of copies reach. In each slot of
-    a Hamming table, images are tried against the first of their slot, then in
-    later rounds against the first of the next component there, so pairs stay as
-    many as rows; rounds end when no new copies turn up, or after ``max_rounds``.
-    Each image has up to ``corners`` descriptors, its strongest corners.
+    ``component_id`` is the smallest id that copies of copies reach. Images of equal
+    size and pixels are copies. All pairs of different ones that share ``votes`` slots of
+    the Hamming tables are tried, unless other copies of their blocks connect them; blocks
+    of about ``block`` images are compared two by two, so work grows with the square of
+    the images. Each image has up to ``corners`` descriptors, its strongest corners.
 
-    Null or malformed pixels, blank images and rows without an id match nothing;
-    a null id has a null component. Rows that repeat are matched by id. Other
-    columns are left out; an empty table gives no rows.
+    Null or malformed pixels and rows without an id match nothing, blank images only
+    equal ones; a null id has a null component. Rows that repeat are matched by id.
+    Other columns are left out; an empty table gives no rows.
     """
     feats = written(image_features(images, corners), "features")
-    usable = feats.where("image_id is not null and length(bits) > 0").dropDuplicates(["image_id"])
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for i, d in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(d.as_py(), ">u4").reshape(-1, BITS // 32).astype(np.int64)
-                x = np.unique(x | (np.arange(BITS // 32) << 32))
-                keys.append(x)
-                ids.append(np.full(len(x), i))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(np.concatenate(ids) if ids else [], pa.int64())], ["slot", "image_id"]
-            )
-
-    slots = usable.select("image_id", "bits").mapInArrow(slices, "slot long, image_id long")
-    busy = slots.groupBy("slot").count().where("count > 1").select("slot")
-    slots = written(slots.join(busy, "slot"), "slots")
-    f = usable.select("image_id", "places", "bits")
-    links = tried = None
-    for _ in range(max_rounds):
-        if links is None:
-            first = slots.groupBy("slot").agg(F.min("image_id").alias("a"))
-            pairs = slots.join(first, "slot").select("a", F.col("image_id").alias("b")).where("a < b")
-        else:
-            parts = written(components(links), "parts").withColumnRenamed("node", "image_id")
-            comp = slots.join(parts, "image_id", "left").select("slot", "image_id", F.coalesce("component", "image_id").alias("comp"))
-            heads = comp.groupBy("slot", "comp").agg(F.min("image_id").alias("head"))
-            low = heads.groupBy("slot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-            rest = heads.join(low, "slot").where("comp > low")
-            second = rest.groupBy("slot").agg(F.min_by("head", "comp").alias("a"))
-            pairs = rest.join(second, "slot").select(F.least("a", "head").alias("a"), F.greatest("a", "head").alias("b")).where("a < b")
-        pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= votes).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        both = pairs.join(f.select(F.col("image_id").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("da")), "a").join(
-            f.select(F.col("image_id").alias("b"), F.col("places").alias("pb"), F.col("bits").alias("db")), "b"
-        )
-        same = written(both.select("a", "b", "pa", "da", "pb", "db").mapInArrow(_same_image(matched, explained), "a long, b long"), "same")
-        links = same if links is None else links.union(same)
-        if same.isEmpty():
-            break
+    usable = feats.where("image_id is not null and digest is not null")
+    # One image stands for all equal ones.
+    equal = usable.groupBy("digest").agg(F.min("image_id").alias("a"))
+    links = usable.select("digest", F.col("image_id").alias("b")).join(equal, "digest").select("a", "b").where("a < b")
+    one = usable.where("length(bits) > 0").join(equal.withColumnRenamed("a", "image_id"), ["digest", "image_id"]).dropDuplicates(["digest"])
+    one = written(one.select("image_id", "places", "bits"), "images")
+    cuts = max(4, -(-one.count() // block))
+    own = F.pmod(F.xxhash64("image_id"), F.lit(cuts)).cast("int")
+    blocks = one.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).select(
+        F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "image_id", "places", "bits"
+    )
+    # A task for each pair of blocks, as far as their numbers spread.
+    tasks = cuts * (cuts + 1) // 2
+    spread = blocks.repartition(tasks, "b1", "b2").sortWithinPartitions("b1", "b2")
+    same = spread.mapInArrow(_block_copies(votes, matched, explained), "a long, b long")
+    links = written(links.union(same), "same")
     parts = components(links).withColumnRenamed("node", "image_id")
     return feats.join(parts, "image_id", "left").select(
         "image_id", (F.octet_length("bits") / (BITS // 8)).cast("int").alias("n_corners"), F.coalesce("component", "image_id").alias("component_id")

@@ -249,3 +249,24 @@ def test_image_copies(spark):
     rows += [(10, 96, 96, bytearray(np.clip(big[0].astype(int) + 6, 0, 255).astype(np.uint8).tobytes())), (11, 88, 88, bytearray(crop.tobytes())), (12, 96, 96, None), (13, 96, 96, bytearray(96 * 96))]
     got = {r.image_id: r.component_id for r in images.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
     assert got == {**{i: i for i in range(6)}, 10: 0, 11: 2, 12: 12, 13: 13}
+
+
+def test_image_copies_of_one_slot(spark, monkeypatch):
+    """Images that share slots with all others, of which only (k, k + 4) are copies."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 256, (8, 10, 16), dtype=np.uint8)
+    bits[4:] = bits[:4] ^ (np.arange(16) % 4 == 0).astype(np.uint8)  # a bit of each slice
+    bits[:, :2] = bits[0, :2]  # slots that all eight share
+    places = [np.c_[rng.uniform(0, 90, (10, 2)), np.ones(10), np.zeros(10)].ravel().tolist() for _ in range(4)]
+    rows = [(k, places[k % 4], bits[k].tobytes(), bytes([k])) for k in range(8)]
+    made = spark.createDataFrame(rows, "image_id long, places array<float>, bits binary, digest binary")
+    monkeypatch.setattr(images, "image_features", lambda *_: made)
+    got = {r.image_id: r.component_id for r in images.image_copies(made).collect()}
+    assert got == {k: k % 4 for k in range(8)}
+
+
+def test_equal_images_are_copies(spark):
+    small = bytearray(range(81))
+    rows = [(1, 9, 9, small), (2, 9, 9, small), (3, 3, 27, small)]
+    got = {r.image_id: r.component_id for r in images.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
