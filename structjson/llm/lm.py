@@ -176,11 +176,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, rounds: int = 2, stride: int = 8, batch: int = 512, seed: int = 0) -> tuple[np.ndarray, list[str]]:
+def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int = 512, seed: int = 0) -> tuple[np.ndarray, list[str]]:
     """Parameters and vocabulary words.
 
-    Every text is trained on, at each ``stride``-th place, another phase in each
-    round; so what is gathered grows with the corpus. Slices of the copies are averaged by tasks of their own, and the driver gets one copy.
+    A round trains on each ``stride``-th place of every text, the next one on the
+    places after those; ``stride`` rounds, as many as there are without ``rounds``,
+    make each token a target once. Slices of the copies are averaged by tasks of their own, and the driver gets one copy.
     """
     counts = written(count_words(docs), "counts")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - OTHERS - 1).collect()
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, rounds: int = 2, stride: int = 8, batch: int = 512, see
     views(flat)["ub"][...] = np.log(freq.sum(1) / freq.sum())
     views(flat)["wb"][...] = np.log(freq / freq.sum(1, keepdims=True))
     parts = 16
-    for k in range(rounds):
+    for k in range(stride if rounds is None else rounds):
 
         def run(batches: Iterator[pa.RecordBatch], flat=flat, k=k) -> Iterator[pa.RecordBatch]:
             ids = vocabulary(words)
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, rounds: int = 2, stride: int = 8, batch: int = 512, see
                 for record in batches:
                     for text in record.column(0).to_pylist():
                         t = token_ids(text, ids)
-                        places = np.arange((k * 3) % stride, len(t), stride)
+                        places = np.arange(k % stride, len(t), stride)
                         for at in range(0, len(places), batch):
                             some = places[at : at + batch]
                             held.append((contexts(t, some), t[some]))

@@ -270,3 +270,19 @@ def test_equal_images_are_copies(spark):
     rows = [(1, 9, 9, small), (2, 9, 9, small), (3, 3, 27, small)]
     got = {r.image_id: r.component_id for r in images.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_lm_trains_on_every_token(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    real = lm.train
+
+    def counted(flat, batches, rate=0.1):
+        out = real(flat, batches, rate)
+        seen.add(out[1])
+        return out
+
+    monkeypatch.setattr(lm, "train", counted)
+    texts = ["one", "two words", "three words here", " ".join(map(str, range(1000)))]
+    d = docs(spark, list(enumerate(texts)))
+    lm.fit(d)
+    assert seen.value == sum(len(t.split()) for t in texts)
