@@ -27,6 +27,7 @@ VOCAB = SIDE * SIDE
 PAD = 0
 OTHERS = 255  # ids 1..OTHERS are shared by hash, the rest are the most frequent words
 HIDDEN = 32
+HEAD = 200_000  # words whose counts every scoring task holds; those of others are joined
 _SHAPES = {
     "ctx": (2 * WINDOW, VOCAB, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, SIDE), "ub": (SIDE,),
     "cls": (SIDE, HIDDEN), "w": (HIDDEN, SIDE), "wb": (SIDE, SIDE),
@@ -176,8 +177,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int = 512, seed: int = 0) -> tuple[np.ndarray, list[str]]:
-    """Parameters and vocabulary words.
+def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int = 512, seed: int = 0) -> tuple[np.ndarray, list[str], DataFrame]:
+    """Parameters, vocabulary words and the counts ``word, n`` of all words.
 
     A round trains on each ``stride``-th place of every text, the next one on the
     places after those; ``stride`` rounds, as many as there are without ``rounds``,
@@ -189,7 +190,6 @@ def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int
     flat = start(seed)
     known = np.array([r[1] for r in top], float)
     rest = float(counts.agg(F.sum("n")).first()[0] or 0) - known.sum()
-    drop_written(counts)
     # The output biases start at corpus frequencies.
     freq = np.full(VOCAB, 0.01)
     freq[1 : OTHERS + 1] += rest / OTHERS
@@ -241,31 +241,71 @@ def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int
         drop_written(copies)
         if sums:
             flat = np.concatenate([np.asarray(r["v"], np.float64) / r["seen"] for r in sorted(sums, key=lambda r: r["part"])]).astype(np.float32)
-    return flat, words
+    return flat, words, counts
 
 
-def score(docs: DataFrame, flat: np.ndarray, words: list[str]) -> DataFrame:
+class Places(dict):
+    """Places of words: a vocabulary or head word's, else minus the id shared by hash."""
+
+    def __missing__(self, word: str) -> int:
+        n = -1 - zlib.crc32(word.encode()) % OTHERS
+        if len(self) < 700_000:
+            self[word] = n
+        return n
+
+
+def score(docs: DataFrame, flat: np.ndarray, words: list[str], counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, pll, mean_pll`` of every row; tokens are runs of non-white-space.
 
-    ``pll`` sums over all tokens of the whole text. Null, empty or blank text has
+    ``pll`` sums over all tokens of the whole text. A token outside the vocabulary has
+    the probability of its shared id times its word's share of that id's tokens in
+    ``counts``, at least one of them. Null, empty or blank text has
     no tokens, a ``pll`` of 0 and a null mean. Ids may be null or repeat; other
     columns are left out; an empty table gives no rows.
     """
+    known = vocabulary(words)
+    shared = (F.crc32(F.col("word").cast("binary")) % OTHERS + 1).cast("int").alias("id")
+    total = np.zeros(OTHERS + 1)
+    for i, n in counts.groupBy(shared).agg(F.sum("n")).collect():
+        total[i] = n
+    top = counts.orderBy(F.desc("n"), "word").limit(len(known) + HEAD).collect()
+    for word, n in top[: len(known)]:
+        total[1 + zlib.crc32(word.encode()) % OTHERS] -= n
+    head = top[len(known) :]
+    # By place, after those below zero: the id, and the log of the share.
+    of_head = np.array([1 + zlib.crc32(w.encode()) % OTHERS for w, _ in head], np.int32)
+    log_total = np.log(np.maximum(total, 1))
+    id_at = np.concatenate([np.arange(OTHERS, 0, -1), np.arange(VOCAB), of_head]).astype(np.int32)
+    log_at = np.concatenate([-log_total[OTHERS:0:-1], np.zeros(VOCAB), np.log([n for _, n in head]) - log_total[of_head]])
+    head_words = [w for w, _ in head]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, p = vocabulary(words), views(flat)
+        p = views(flat)
+        places = Places(vocabulary(words))
+        places.update((w, VOCAB + k) for k, w in enumerate(head_words))
         for record in batches:
-            n, total = [], []
+            n, sums, tails = [], [], []
             for text in record.column(1):
-                t = token_ids(text.as_py(), ids)
+                tokens = (text.as_py() or "").split()
+                t = np.fromiter(map(places.__getitem__, tokens), np.int32)
                 n.append(len(t))
-                total.append(score_ids(p, t))
-            mean = [b / a if a else None for a, b in zip(n, total)]
+                sums.append(score_ids(p, id_at[t + OTHERS]) + float(log_at[t + OTHERS].sum()))
+                tails.append([tokens[k] for k in np.flatnonzero(t < 0)])
             yield pa.RecordBatch.from_arrays(
-                [record.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())],
-                ["doc_id", "n_tokens", "pll", "mean_pll"],
+                [record.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(tails, pa.list_(pa.string()))],
+                ["doc_id", "n_tokens", "pll", "tail"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, pll double, mean_pll double"
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, n_tokens long, pll double, tail array<string>"
+    )
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # Words that occur once, or never, have a logarithm of 0.
+    more = (
+        scored.select("row", F.explode("tail").alias("word")).join(counts.where("n > 1"), "word")
+        .groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    )
+    pll = F.col("pll") + F.coalesce("more", F.lit(0.0))
+    return scored.drop("tail").join(more, "row", "left").select(
+        "doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll")
     )

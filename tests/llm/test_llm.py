@@ -286,3 +286,17 @@ def test_lm_trains_on_every_token(spark, monkeypatch):
     d = docs(spark, list(enumerate(texts)))
     lm.fit(d)
     assert seen.value == sum(len(t.split()) for t in texts)
+
+
+@pytest.mark.parametrize("head", [0, 1, 1000])
+def test_lm_tells_words_of_one_bucket_apart(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    bucket = lambda w: zlib.crc32(w.encode()) % lm.OTHERS
+    once = next(f"x{i}" for i in range(10**5) if bucket(f"x{i}") == bucket("rare"))
+    common = [f"w{i}" for i in range(lm.VOCAB - lm.OTHERS - 1)]
+    d = docs(spark, [(1, " ".join(common * 5)), (2, f"rare rare rare {once}")])
+    flat, words, counts = lm.fit(d)
+    ids = np.array([1 + bucket("rare")], np.int32)
+    alone = lm.score_ids(lm.views(flat), ids)
+    got = {r.doc_id: r.pll for r in lm.score(docs(spark, [(1, "rare"), (2, once)]), flat, words, counts).collect()}
+    assert abs(got[1] - alone - np.log(3 / 4)) < 1e-4 and abs(got[2] - alone - np.log(1 / 4)) < 1e-4
