@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Most sources whose shares are held in one row while the exponent is sought.
-MAX_SOURCES = 1_000_000
+#: Digits of exact sums, so that weights do not hang on the order in which tasks add up.
+EXACT = "decimal(38, 22)"
+#: Exponents that one pass over the sources tries.
+TRIED = 16
 #: Quotas of up to this many sources are broadcast to the documents.
 SMALL_PLAN = 100_000
 #: Parts into which a join with more quotas than that cuts each source.
@@ -21,46 +25,61 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(words, lambda w: w != "")).cast("long"), F.lit(0).cast("long"))
 
 
-def source_weights(
-    sizes: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, steps: int = 40
-) -> DataFrame:
-    """``source, tokens, share, weight``: shares to the power of an exponent in [0, 1], normalised.
+def _entropy(live: DataFrame, total: int, exponents: list[float]) -> list[float]:
+    """Entropy of the weights under each exponent, in nats, by one aggregation."""
+    share = F.col("tokens") / F.lit(float(total))
+    sums = []
+    for k, e in enumerate(exponents):
+        w = F.pow(share, F.lit(e))
+        sums += [F.sum(w.cast(EXACT)).alias(f"z{k}"), F.sum((w * F.log(w)).cast(EXACT)).alias(f"s{k}")]
+    row = live.agg(*sums).first()
+    return [math.log(row[f"z{k}"]) - float(row[f"s{k}"]) / float(row[f"z{k}"]) for k in range(len(exponents))]
+
+
+def exponent(live: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, passes: int = 12) -> tuple[float, int]:
+    """The exponent in [0, 1] that meets the target, and the tokens of all sources.
+
+    The entropy falls as the exponent grows: a pass tries ``TRIED - 1`` exponents
+    that cut the interval evenly and keeps the part where the target is crossed, so
+    the work grows with the sources alone and none is held by the driver. A limit
+    on repetitions hangs on the largest and the smallest source only.
+    """
+    total, least, most, n = live.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens"), F.count("*")).first()
+    lo, hi = 0.0, 1.0
+    if not n:
+        return 1.0, 0
+    if max_repeats is not None:
+        # With budget max(size / weight), the rarest source is used max/min of size^(1 - e) times.
+        ratio = math.log(most) - math.log(least)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if ratio * (1 - mid) > math.log(max_repeats) else (lo, mid)
+        return hi, total
+    goal = target_entropy * math.log(n)
+    for _ in range(passes):
+        step = (hi - lo) / TRIED
+        tried = [lo + step * k for k in range(1, TRIED)]
+        met = sum(h >= goal for h in _entropy(live, total, tried))  # the first ones, as entropy falls
+        lo, hi = lo + step * met, lo + step * (met + 1)
+    return lo, total
+
+
+def source_weights(sizes: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> DataFrame:
+    """``source, tokens, docs, share, weight``: shares to the power of an exponent in [0, 1], normalised.
 
     The exponent is bisected to the largest that reaches ``target_entropy`` (a
     fraction of the entropy of equal weights), or to the smallest that keeps the
     repetitions within ``max_repeats`` when the budget lets every source be used
-    once in full. Weights are rounded to 9 decimals. Sources without tokens get none.
+    once in full. Weights are not rounded. Sources without tokens get none.
     """
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give target_entropy or max_repeats")
     live = sizes.where("tokens > 0")
-    one = live.agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("sizes")).withColumn(
-        "sizes", F.when(F.size("sizes") <= MAX_SOURCES, F.col("sizes")).otherwise(F.raise_error(F.lit("too many sources")).cast("array<double>"))
-    )
-    add = "(a, x) -> a + x"
-    t = f"aggregate(sizes, 0D, {add})"
-    ws = f"transform(sizes, x -> pow(x / {t}, (s.lo + s.hi) / 2))"
-    if target_entropy is not None:
-        # H(w) = ln(sum w) - sum(w ln w) / sum(w); it falls as the exponent grows.
-        total = f"aggregate({ws}, 0D, {add})"
-        h = f"(ln({total}) - aggregate({ws}, 0D, (a, x) -> a + x * ln(x)) / {total})"
-        good, low = f"{h} >= {float(target_entropy)!r}D * ln(size(sizes))", "(s.lo + s.hi) / 2, s.hi"
-        pick = "lo"
-    else:
-        # With budget max(size / weight), the rarest source is used max/min of size^(1 - e) times.
-        good = f"pow(array_max(sizes) / array_min(sizes), 1 - (s.lo + s.hi) / 2) > {float(max_repeats)!r}D"
-        low, pick = "(s.lo + s.hi) / 2, s.hi", "hi"
-    a, b = low.split(", ")
-    one = one.selectExpr(
-        f"{t} as total",
-        f"aggregate(sequence(1, {int(steps)}), named_struct('lo', 0D, 'hi', 1D), (s, i) -> "
-        f"case when {good} then named_struct('lo', {a}, 'hi', {b}) else named_struct('lo', s.lo, 'hi', (s.lo + s.hi) / 2) end).{pick} as e",
-    )
-    raw = live.join(F.broadcast(one)).withColumn("w", F.expr("pow(tokens / total, e)"))
-    norm = raw.agg(F.sum("w").alias("z"))
-    return raw.join(F.broadcast(norm)).select(
-        "source", "tokens", F.col("docs"), F.round(F.col("tokens") / F.col("total"), 9).alias("share"), F.round(F.col("w") / F.col("z"), 9).alias("weight")
-    )
+    e, total = exponent(live, target_entropy, max_repeats)
+    share = F.col("tokens") / F.lit(float(max(1, total)))
+    raw = live.withColumn("share", share).withColumn("w", F.pow("share", F.lit(e)))
+    norm = raw.agg(F.sum(F.col("w").cast(EXACT)).cast("double").alias("z"))  # one row
+    return raw.crossJoin(F.broadcast(norm)).select("source", "tokens", "docs", "share", (F.col("w") / F.col("z")).alias("weight"))
 
 
 def order_hash(seed: int, *cols: Column) -> Column:
@@ -95,11 +114,11 @@ def mix(
     base = docs.select(*cols, token_count(F.col("text")).alias("mix_tokens"), order_hash(seed, F.coalesce(F.col("doc_id"), F.lit(-1))).alias("_h"))
     # Read several times below, so counted once.
     slim = written(base.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "mix_tokens", "_h"), "sizes")
-    sizes = slim.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs"))
+    sizes = written(slim.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     weights = source_weights(sizes, target_entropy, max_repeats)
     need = weights.agg(F.max(F.ceil(F.col("tokens") / F.col("weight"))).cast("long").alias("least"))
     quota = (
-        weights.join(F.broadcast(need))
+        weights.crossJoin(F.broadcast(need))
         .withColumn("quota", F.floor(F.col("weight") * (F.lit(budget) if budget is not None else F.col("least"))).cast("long"))
         .withColumn("quota", F.when(F.lit(budget is None), F.greatest("quota", "tokens")).otherwise(F.col("quota")))
         .select("source", "weight", "tokens", "docs", F.expr("quota div tokens").alias("epochs"), F.expr("quota % tokens").alias("rest"))
@@ -112,10 +131,10 @@ def mix(
     # No join may deal documents out by source alone, as one source may have a third of them.
     quota = written(quota, "shares")
     small = quota.count() <= SMALL_PLAN
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     if small:
         keyed = slim.join(F.broadcast(quota), "source")
     else:
-        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
         keyed = slim.withColumn("_salt", F.col("_h") % SALTS).join(quota.select("*", salts.alias("_salt")), ["source", "_salt"])
     keyed = keyed.withColumn("block", block_of)
     sums = keyed.groupBy("source", "block", "rest").agg(F.sum("mix_tokens").alias("bt"))
@@ -129,12 +148,14 @@ def mix(
     cut = inside.withColumn("run", run).where("run > room").groupBy("source").agg(F.min("_h").alias("cut"))
     plan = quota.join(cut, "source", "left").select(F.col("source").alias("_s"), "weight", "epochs", "_width", F.coalesce("cut", F.lit(0)).alias("_cut"))
     plan = written(plan, "quotas")
+    base = base.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     if small:
-        plan = F.broadcast(plan)
+        dealt = base.join(F.broadcast(plan), "_s", "left")
+    else:  # texts are dealt out by source and salt, as a source may be hot
+        dealt = base.withColumn("_salt", F.col("_h") % SALTS).join(plan.select("*", salts.alias("_salt")), ["_s", "_salt"], "left")
     times = F.col("epochs") + (F.col("_h") < F.col("_cut")).cast("long")
     chosen = (
-        base.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(plan, "_s", "left")
-        .withColumn("_times", F.when(F.col("weight").isNull(), 1).otherwise(times))
+        dealt.withColumn("_times", F.when(F.col("weight").isNull(), 1).otherwise(times))
         .where("_times > 0")
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
         .withColumn("mix_block", F.coalesce(block_of, F.lit(0).cast("long")))
