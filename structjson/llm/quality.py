@@ -20,6 +20,8 @@ FEATURES = (
 )
 #: Site tables up to this many rows are broadcast.
 SMALL_SITES = 100_000
+#: Parts into which a join with more sites than that cuts each site.
+SALTS = 32
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~<>{}[]\\_=+", b"|", b"!?", b",."), 1):
     _CLASS[list(_chars)] = _k
@@ -98,7 +100,7 @@ def _shrunk(groups: DataFrame, parent_mean, key: list[str], name: str) -> DataFr
          - F.avg(F.col("_m") * (1 - F.col("_m"))) * F.count("*") / F.sum("n")).alias("v"),
         F.avg(F.col("_m") * (1 - F.col("_m"))).alias("pq"),
     ).select(F.greatest(F.lit(2.0), F.least(F.lit(1e4), F.col("pq") / F.greatest(F.lit(1e-6), "v") - 1)).alias("k"))
-    return g.join(F.broadcast(spread)).select(*key, ((F.col("s") + F.col("k") * F.col("_m")) / (F.col("n") + F.col("k"))).alias(name))
+    return g.crossJoin(F.broadcast(spread)).select(*key, ((F.col("s") + F.col("k") * F.col("_m")) / (F.col("n") + F.col("k"))).alias(name))
 
 
 def score_quality(
@@ -107,8 +109,8 @@ def score_quality(
     """Adds ``q_doc, q_host, q_path, q_score, q_keep`` to every row of ``docs(doc_id, text, ...)``.
 
     ``q_doc`` is a logistic classifier's probability that the text is good. It is
-    fitted on ``labels(doc_id, quality)``, on ``sample`` of them at most (by hash of
-    the id), which bounds what the driver holds. Sites are ``host``, and ``path``
+    fitted on ``labels(doc_id, quality)``, on ``sample`` labels and as many labelled
+    rows at most (by hash of the id), which bounds what the driver holds. Sites are ``host``, and ``path``
     within it: their posterior means shrink a site's mean evidence towards its
     parent, the more the sparser it is. ``q_score`` adds to the document's log odds
     those of its path over the corpus, and ``q_keep`` says if it reaches ``keep_from``.
@@ -125,7 +127,8 @@ def score_quality(
     )
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = slim.join(F.broadcast(known), "doc_id").select("f", "quality").limit(4 * sample).collect()
+    # Ids may repeat on either side; of the joined rows too there are `sample` at most, the same in every run.
+    rows = slim.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "f").select("f", "quality").limit(sample).collect()
     x = np.array([r[0] for r in rows], float).reshape(-1, len(FEATURES))
     w = fit_logistic(x, np.array([r[1] for r in rows], float))
     weights = F.array(*[F.lit(float(a)) for a in w[:-1]])
@@ -137,20 +140,24 @@ def score_quality(
     p = 1 / (1 + F.exp(-log_odds(F.col("f"))))
     by_path = written(slim.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "sites")
     total = by_path.agg((F.sum("s") / F.sum("n")).alias("mean"))
-    by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(F.broadcast(total))
+    by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).crossJoin(F.broadcast(total))
     hosts = _shrunk(by_host, F.col("mean"), ["host", "mean"], "q_host")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     below = by_path.join(hosts.withColumnRenamed("host", "_h"), same("host", "_h")).drop("_h")
     sites = written(
         _shrunk(below, F.col("q_host"), ["host", "path", "mean", "q_host"], "q_path").select(F.col("host").alias("_host"), F.col("path").alias("_path"), "mean", "q_host", "q_path"), "sites"
     )
-    if sites.count() <= SMALL_SITES:
-        sites = F.broadcast(sites)
     odds = F.col("_odds")
     score = 1 / (1 + F.exp(-(odds + _logit(F.col("q_path")) - _logit(F.col("mean")))))
-    scored = with_features(docs, cols, "_odds", w).join(
-        sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left"
-    )
+    judged = with_features(docs, cols, "_odds", w)
+    on = F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path"))
+    if sites.count() <= SMALL_SITES:
+        scored = judged.join(F.broadcast(sites), on, "left")
+    else:  # a site may hold a third of all rows, so texts are dealt out by site and salt
+        salted = sites.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        scored = judged.withColumn("_salt1", F.pmod(F.xxhash64("_odds", "doc_id"), F.lit(SALTS))).join(
+            salted, on & (F.col("_salt1") == F.col("_salt2")), "left"
+        )
     return scored.select(
         *cols, (1 / (1 + F.exp(-odds))).alias("q_doc"), "q_host", "q_path", score.alias("q_score"), (score >= keep_from).alias("q_keep")
     )
