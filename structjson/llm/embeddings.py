@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, drop_written, written
 
 #: Rows of a bucket that are compared by one task; larger buckets are cut into blocks.
 BLOCK = 2000
@@ -83,7 +83,8 @@ def near_duplicates(
 
     A null vector, a zero one, or one that holds a null or a non-finite component
     links with nothing; so does a row without an id, whose component is null.
-    Repeated rows count as other vectors. Vectors of several lengths link within
+    Repeated rows count as other vectors, and rows that repeat an id with another vector
+    link as their vector does. Vectors of several lengths link within
     their length only. Other columns are left out; an empty table gives no rows.
     """
     e = F.col("embedding").cast("array<double>")
@@ -92,9 +93,11 @@ def near_duplicates(
     zeroed = F.transform(e, lambda x: x + F.lit(0.0))  # -0.0 is 0.0
     rows = vectors.select(F.col("vec_id").cast("long"), F.when(fine, F.xxhash64(zeroed)).alias("k1"), F.when(fine, F.md5(F.to_json(zeroed))).alias("k2"), F.when(fine, F.col("embedding")).alias("v"))
     keys = rows.select("vec_id", "k1", "k2")
-    classes = keys.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    # A node is a class of equal vectors, under a number of its own: ids may repeat with other vectors.
+    classes = keys.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     nodes = written(
-        rows.where("k1 is not null").join(classes, ["k1", "k2"]).where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "mult", "v", F.size("v").alias("dim")), "vectors"
+        rows.where("k1 is not null").join(classes, ["k1", "k2"]).where("vec_id = least").dropDuplicates(["rep"]).select("rep", "mult", "v", F.size("v").alias("dim")), "vectors"
     )
     sizes = nodes.groupBy("dim").count().collect()  # one row for each vector length
     k, tables = tables_for(max([r[1] for r in sizes], default=0), threshold, width, recall)
@@ -123,7 +126,8 @@ def near_duplicates(
     full = full.join(large, ["dim", "t", "code"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
     blocks = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "dim", "t", "code", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "mult", "v", "codes"
+        "dim", "t", "code", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "mult", "v",
+        F.slice("codes", F.lit(1), F.col("t")).alias("codes"),  # those of earlier tables, to count a pair once
     )
 
     def group(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -132,7 +136,7 @@ def near_duplicates(
         own = np.array([r[5] for r in part])
         rep, mult = np.array([r[6] for r in part]), np.array([r[7] for r in part])
         x = _unit([r[8] for r in part])
-        codes = np.array([r[9][:t] for r in part], np.int64)
+        codes = np.array([r[9] for r in part], np.int64)
         found_i, found_j = [], []
         for at in range(0, len(x), 1000):
             i, j = np.nonzero(x[at : at + 1000] @ x.T >= threshold)
@@ -180,10 +184,16 @@ def near_duplicates(
     cells = ["dim", "t", "code", "b1", "b2"]
     found = written(blocks.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(compare, "rep long, n long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = components(found.where("rep <> root").select("rep", "root").distinct(), "rep", "root")
-    known = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "rep").alias("c")
+    parts = components(found.where("rep <> root").select("rep", "root").distinct(), "rep", "root").withColumnRenamed("node", "rep")
+    smallest = parts.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("c"))
+    known = classes.join(links, "rep", "left").join(parts.join(smallest, "component"), "rep", "left").select(
+        "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("c", "least").alias("c")
     )
-    joined = keys.join(known, ["k1", "k2"], "left")
-    comp = F.coalesce("c", "vec_id")
+    known = written(known, "known")
+    for table in (coded, found, nodes):
+        drop_written(table)
+    # Vectors that link with nothing stay out of the join, where they would share one key.
+    odd = keys.where("k1 is null").select("vec_id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("c"))
+    joined = keys.where("k1 is not null").join(known, ["k1", "k2"]).select("vec_id", "n", "c").unionByName(odd)
+    comp = F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id"))
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
