@@ -1,7 +1,7 @@
 """Deterministic sharded WARC archives.
 
-Records are range-sorted by id: the id range is cut by a fixed histogram of
-payload bytes, so the shards depend on the rows alone. Each shard is written in
+Records are range-sorted by id: shards are cut where the payload bytes of all rows
+with smaller ids pass a multiple of the shard size, so they depend on the rows alone. Each shard is written in
 order and rolled by compressed size under an attempt's own temporary name; the
 manifest lists what successful tasks wrote, then files get their final names,
 and the manifest's own renaming commits the archive. Every archive folder is a
@@ -18,27 +18,30 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path
+from .common import drop_path, drop_written, written
 
-CELLS = 4096
+#: Shards of an archive at most; more bytes than that many shards hold make larger shards, in files of the same size.
+SHARDS = 1 << 20
 MANIFEST = "shard long, seq int, temp string, file string, records long, bytes long, sha1 string"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
-def record_id(key: object) -> str:
-    """The record id of a page, the same in every run."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+def record_id(key: object, digest: str, n: object = 0) -> str:
+    """The id of the ``n``-th record of a page with that payload, the same in every run."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}:{digest}:{n}')}>"
 
 
-def record_bytes(key, url, payload: bytes, digest: str, refers, date: str) -> bytes:
+def record_bytes(key, url, payload: bytes, digest: str, refers, date: str, n: object = 0) -> bytes:
     """One uncompressed record; a revisit (``refers`` set) carries no payload."""
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
-    head = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", date)]
+    head = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(key, digest, n)), ("WARC-Date", date)]
     if url is not None:
         head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if key is not None:
@@ -49,7 +52,7 @@ def record_bytes(key, url, payload: bytes, digest: str, refers, date: str) -> by
     else:
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(refers)), ("X-Refers-To-Page-Id", str(refers)),
+            ("WARC-Refers-To", record_id(refers, digest)), ("X-Refers-To-Page-Id", str(refers)),
         ]
     head += [
         ("WARC-Payload-Digest", sha), ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
@@ -106,20 +109,26 @@ class _Rolled:
             self.seq += 1
 
 
-def _bounds(rows: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """``(lowest id, cell width, first cell of each further shard)`` from at most CELLS sums."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, []
-    width = (high - low) // CELLS + 1
-    cells = rows.where("page_id is not null").groupBy(((F.col("page_id") - low) / width).cast("long").alias("cell")).agg(F.sum("payload_bytes"))
-    cuts, full = [], 0
-    for cell, size in sorted(map(tuple, cells.collect())):
-        if full and full + size > shard_bytes:
-            cuts.append(cell)
-            full = 0
-        full += size
-    return low, width, cuts
+def _bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """The lowest id of each shard after the first, for ``sizes(page_id, bytes)``.
+
+    Bytes are added up along the ids: within each range of a range partitioning, and
+    over the ranges before it by their sums. The running sum of an id is the same for
+    any such ranges. Only the first id of each shard comes to the driver.
+    """
+    ids = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("payload_bytes").alias("b"))
+    ranged = written(ids.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "sizes")
+    parts = ranged.groupBy("part").agg(F.sum("b").alias("b")).withColumn(
+        "before", F.sum("b").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    )
+    total = parts.agg(F.sum("b")).first()[0] or 0
+    step = max(shard_bytes, -(-total // SHARDS))
+    along = F.sum("b").over(Window.partitionBy("part").orderBy("page_id")) - F.col("b")
+    placed = ranged.withColumn("along", along).join(F.broadcast(parts.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part")
+    firsts = placed.groupBy(F.expr(f"(before + along) div {step}").alias("shard")).agg(F.min("page_id").alias("low")).where("shard > 0")
+    out = sorted(r.low for r in firsts.collect())  # fewer than SHARDS
+    drop_written(ranged)
+    return out
 
 
 def write_archive(
@@ -136,34 +145,41 @@ def write_archive(
     Of rows with equal payloads (SHA-1 and length) of at least ``revisit_from``
     bytes, those with the largest id are responses and the others revisit it;
     shorter payloads are always responses. ``shard_bytes`` of payload make a
-    shard (one task), and its files are rolled at ``roll_bytes`` compressed.
+    shard (one task), and its files are rolled at ``roll_bytes`` compressed. An id
+    is never split, so rows that repeat one share a shard.
 
     Null html is an empty payload, a null url leaves the target out. Rows with a
-    null id come first, without a page id, and are never revisited. Rows that
-    repeat are written again. Other columns are ignored; no rows give no files.
+    null id are responses without a page id, spread over all shards, and are never
+    referred to. Rows that repeat are written again, under record ids of their own. Other columns are ignored; no rows give no files.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digests = pages.select("page_id", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    low, width, cuts = _bounds(digests, shard_bytes)
-    shard = F.lit(0)
-    if cuts:
-        cell = ((F.col("page_id") - low) / width).cast("long")
-        shard = F.coalesce(F.aggregate(F.lit(cuts), F.lit(0), lambda n, c: n + (c <= cell).cast("int")), F.lit(0))
+    digests = written(digests, "digests")
+    cuts = np.array(_bounds(digests, shard_bytes), np.int64)
+
+    @F.pandas_udf("int")
+    def shard_of(page: pd.Series, spread: pd.Series) -> pd.Series:
+        lost = page.isna()
+        place = np.searchsorted(cuts, page.fillna(0).astype("int64").to_numpy(), "right")
+        return pd.Series(np.where(lost, spread.to_numpy() % (len(cuts) + 1), place).astype("int32"))
+
+    # Rows without an id are no range; they go to all shards, by their content.
+    shard = shard_of("page_id", F.pmod(F.xxhash64("url", "html"), F.lit(1 << 31)))
     same = (
         digests.where(F.col("payload_bytes") >= revisit_from).groupBy("payload_digest", "payload_bytes")
         .agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
     revisits = (
         digests.where(F.col("payload_bytes") >= revisit_from).join(same, ["payload_digest", "payload_bytes"])
-        .where("page_id < kept or page_id is null").where("kept is not null").select("page_id", "payload_digest", "kept").distinct()
+        .where("page_id < kept").select("page_id", "payload_digest", "kept").distinct()
     )
     rows = pages.select(shard.alias("shard"), "page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("kept")).union(
-        revisits.select(shard.alias("shard"), "page_id", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "payload_digest", "kept")
+        revisits.select(shard_of("page_id", F.lit(0).cast("long")).alias("shard"), "page_id", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "payload_digest", "kept")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, key, to, done = None, (), {}, []
+        out, key, to, times, done = None, (), {}, {}, []
         for batch in batches:
             cols = batch.columns
             for i in range(batch.num_rows):
@@ -173,7 +189,7 @@ def write_archive(
                         done += out.close()
                     out = _Rolled(folder, n, roll_bytes, level)
                 if key != (n, page):
-                    key, to = (n, page), {}
+                    key, to, times = (n, page), {}, {}
                 if kind == 0:
                     to[cols[5][i].as_py()] = cols[6][i].as_py()
                     continue
@@ -181,7 +197,10 @@ def write_archive(
                 data = html.as_buffer().to_pybytes() if html.is_valid else b""
                 digest = hashlib.sha1(data).hexdigest()
                 refers = to.get(digest) if len(data) >= revisit_from else None
-                done += out.add(record_bytes(page, cols[3][i].as_py(), data, digest, refers, date))
+                again = times[digest] = times.get(digest, -1) + 1
+                if page is None:  # no order among them says which is which
+                    again = f"{cols[3][i].as_py()}:{n}:{again}"
+                done += out.add(record_bytes(page, cols[3][i].as_py(), data, digest, refers, date, again))
         if out is not None:
             done += out.close()
         names = [x.split()[0] for x in MANIFEST.split(", ")]
@@ -191,7 +210,7 @@ def write_archive(
     parts = len(cuts) + 1
     manifest_path = f"{folder}/_temporary_manifest"
     (
-        rows.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("url", "html"))
+        rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("url", "html"))
         .mapInArrow(write, MANIFEST).write.parquet(manifest_path)
     )
     manifest = spark.read.schema(MANIFEST).parquet(manifest_path)
@@ -209,7 +228,9 @@ def write_archive(
     manifest.select("temp", "file").mapInArrow(move, "temp string, file string").agg(F.count("*")).collect()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    path(folder).getFileSystem(conf).rename(path(manifest_path), path(f"{folder}/manifest"))
+    if not path(folder).getFileSystem(conf).rename(path(manifest_path), path(f"{folder}/manifest")):
+        raise OSError(f"{folder}: the manifest could not be committed")
+    drop_written(digests)
     drop_path(spark, f"{folder}/_temporary")
     return read_manifest(spark, folder)
 
@@ -258,4 +279,4 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
                 yield flush(rows)
 
     files = read_manifest(spark, folder)
-    return files.select("file").repartition(max(1, min(files.count(), 10_000))).mapInArrow(read, schema)
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(read, schema)
