@@ -56,19 +56,20 @@ def drop_written(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``links``: rows ``(node, component)``.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which end
     with each node linked to the smallest node of its component. Each round is
-    written, so a lost executor costs one round; no round collects links.
+    written, so a lost executor costs one round; no round collects links. Rounds go on
+    until none changes a link; each lowers the nodes that links point to, so they end.
     Only nodes that occur in ``links`` come back. Nulls and self links are ignored.
     """
     edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links"
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -87,8 +88,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

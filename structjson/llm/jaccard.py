@@ -413,34 +413,9 @@ def _bucketed(source: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Callable
     return spark.table(name), drop
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_rounds: int = 12) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
-
-    Documents link when the Jaccard similarity of their sets of distinct
-    ``size``-word n-grams (the whole sequence where there are fewer words) is at
-    least ``similarity``, compared as a fraction of hundredths. ``component_id`` is
-    the smallest ``doc_id`` that links reach, its own included.
-
-    Null, empty or blank text has an empty set and links with nothing; neither
-    does a row without an id, whose component is null. Rows that repeat an id are
-    one node with all its texts. Equal sets are one node too. Whole texts count.
-    Other columns are left out; an empty table gives no rows.
-    """
-    num, den = round(similarity * 100), 100
-    g = math.gcd(num, den)
-    spark = docs.sparkSession
-    num, den = num // g, den // g
-    sig = written(signatures(docs, size), "signatures")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "classes")
-    sketches = written(
-        sig.join(classes, ["k1", "k2"]).where("doc_id = rep").select("rep", F.col("n").cast("int").alias("n"), "sketch", "k1", "k2")
-        .dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "sketches"
-    )
-    chosen = sketches.select("rep").distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts, drop_texts = _bucketed(source, chosen)
-
+def _parts(texts: DataFrame, sketches: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``rep, component`` of the texts that links join, from ``texts(rep, text)`` and ``sketches(rep, n, sketch)``."""
+    spark = texts.sparkSession
     telling = written(_telling_keys(_key_rows(texts, size, (num, den)), (num, den)), "keys")
     _release(spark)
     shared = written(_shared_keys(telling), "keys")
@@ -456,13 +431,16 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
 
     tried = written(admitted(star), "pairs")
     links = written(_verify(tried, texts, size, num, den), "similar")
+    made = [tried, links]
     _release(spark)
     # Keys of three documents or more; of those with the same documents, one.
     sets = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("size"))
     wide = written(shared.join(sets.where("size > 2").groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size"), "key").select("key", "rep", "n", "size"), "keys")
     drop_written(shared)
+    # A round hands on the `most` nearest of the candidates that a row has in another component.
+    # `most` grows in every round and reaches the rows of a block, which leaves nothing open.
     most = 1
-    for _ in range(max_rounds):
+    while True:
         parts = written(components(links), "parts")
         placed = wide.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
         mixed = placed.groupBy("key", "size").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -478,16 +456,51 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, m
         found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
         new = written(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         fresh = written(_verify(new, texts, size, num, den), "similar")
+        made += [parts, found, new, fresh]
         links = links.union(fresh)
         _release(spark)
         if found.where("more = 1").isEmpty():
             break  # every admitted pair across components is verified or refuted
         tried = tried.union(new)
-        most *= 16 if fresh.isEmpty() else 1
-    else:
-        raise RuntimeError(f"similar pairs did not settle in {max_rounds} rounds")
-    parts = components(links).withColumnRenamed("node", "rep")
-    drop_texts()
+        most *= 16 if fresh.isEmpty() else 2
+    whole = components(links).withColumnRenamed("node", "rep")
+    for table in (wide, *made):
+        drop_written(table)
+    return whole
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
+
+    Documents link when the Jaccard similarity of their sets of distinct
+    ``size``-word n-grams (the whole sequence where there are fewer words) is at
+    least ``similarity``, compared as a fraction of hundredths. ``component_id`` is
+    the smallest ``doc_id`` that links reach, its own included.
+
+    Null, empty or blank text has an empty set and links with nothing; neither
+    does a row without an id, whose component is null. Rows that repeat an id are
+    one node with all its texts. Equal sets are one node too. Whole texts count.
+    Other columns are left out; an empty table gives no rows.
+    """
+    num, den = round(similarity * 100), 100
+    g = math.gcd(num, den)
+    num, den = num // g, den // g
+    sig = written(signatures(docs, size), "signatures")
+    classes = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = written(classes, "classes")
+    sketches = written(
+        sig.join(classes, ["k1", "k2"]).where("doc_id = rep").select("rep", F.col("n").cast("int").alias("n"), "sketch", "k1", "k2")
+        .dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "sketches"
+    )
+    chosen = sketches.select("rep").distinct()
+    source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts, drop_texts = _bucketed(source, chosen)
+
+    try:
+        parts = _parts(texts, sketches, size, num, den)
+    finally:
+        drop_texts()
+    drop_written(sketches)
     known = classes.join(parts, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     return sig.join(known, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id")
