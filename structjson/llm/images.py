@@ -1,15 +1,17 @@
 """Copies of images by local descriptors.
 
 Corners are found on a small pyramid, each is given the direction of its patch's
-centroid and 128 binary tests in a pattern turned to it. Descriptors meet in Hamming
-tables (32-bit slices: two within a distance of 3 share a slice); all pairs of images
-that meet often enough are matched corner by corner, and are copies when a similarity
+centroid and 128 binary tests in a pattern turned to it. Corners meet in Hamming
+tables together with a neighbour: a slot holds the same 12 bits of both descriptors and
+how the two lie to each other. Pairs of images that meet in a slot, with both corners
+near in all bits, are matched corner by corner, and are copies when a similarity
 transform explains enough of the matches, so crops, turns and edits still match.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ SCALES = (1.0, 0.7071, 0.5)
 CORNERS = 24
 RADIUS = 7
 BITS = 128
+#: Corners nearest to each with which it shares slots; bits of a slice; slices of a descriptor.
+NEIGHBOURS, SLICE, SLICES = 6, 12, 8
 _rng = np.random.default_rng(7)
 #: Two points of the patch for each test.
 TESTS = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS, RADIUS)
@@ -87,8 +91,9 @@ def describe(images: np.ndarray, corners: int = CORNERS) -> list[tuple[np.ndarra
         for k, at in enumerate(img):
             found[at].append((-strength[k], xs[k] / scale, ys[k] / scale, scale, angle[k], bits[k]))
     out = []
+    most = int(corners * max(1.0, math.sqrt(images.shape[1] * images.shape[2]) / 64))  # larger images have more
     for f in found:
-        f = sorted(f, key=lambda t: t[:4])[:corners]
+        f = sorted(f, key=lambda t: t[:4])[:most]
         out.append((np.array([t[1:5] for t in f], np.float32).reshape(-1, 4), np.array([t[5] for t in f], np.uint8).reshape(-1, BITS // 8)))
     return out
 
@@ -148,13 +153,33 @@ def image_features(images: DataFrame, corners: int = CORNERS) -> DataFrame:
     return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").mapInArrow(run, FEATURES)
 
 
-def _slots(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the Hamming tables and the image, by place in ``bits``, that is in each; by slot."""
-    keys = [np.unique(x.view(">u4").astype(np.int64) | (np.arange(BITS // 32) << 32)) for x in bits]
-    slot = np.concatenate(keys)
-    who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    order = np.argsort(slot, kind="stable")
-    return slot[order], who[order]
+def _slots(places: list[np.ndarray], bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of all images: the slot, the image, and the corner and its neighbour that are in it."""
+    out: list[tuple] = []
+    weights = 1 << np.arange(SLICE)
+    for image, (at, d) in enumerate(zip(places, bits)):
+        if len(d) < 2:
+            continue
+        p = at[:, 0] + 1j * at[:, 1]
+        gap = np.abs(p[:, None] - p[None])
+        gap[gap < 4] = np.inf
+        near = np.argsort(gap, 1, kind="stable")[:, :NEIGHBOURS]
+        a, b = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
+        known = np.isfinite(gap[a, b])
+        a, b = a[known], b[known]
+        # Where the neighbour lies, seen from the corner's own direction, size and scale.
+        turn = lambda x: np.floor(x % (2 * np.pi) / (2 * np.pi) * 8).astype(np.int64) & 7
+        lies = turn(np.angle(p[b] - p[a]) - at[a, 3]) * 8 + turn(at[b, 3] - at[a, 3])
+        lies = lies * 16 + np.rint(2 * np.log2(at[b, 2] / at[a, 2])).astype(np.int64) + 4
+        lies = lies * 64 + np.floor(2 * np.log2(gap[a, b] * at[a, 2] / 4)).astype(np.int64) + 8
+        ones = np.unpackbits(d, axis=1).astype(np.int64)
+        for k in range(SLICES):
+            piece = ones[:, k * SLICE : (k + 1) * SLICE] @ weights
+            slot = (((lies * SLICES + k) << SLICE | piece[a]) << SLICE) | piece[b]
+            out.append((slot, np.full(len(a), image), a, b))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _padded(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,62 +212,109 @@ def _explained(p: np.ndarray, q: np.ndarray, pixels: float = 2.5) -> np.ndarray:
     return np.where(sane, near.sum(2), 0).max(1)
 
 
-def _met(a: tuple, b: tuple, rows: slice, size: int, votes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of images, those of ``a`` in ``rows``, that share ``votes`` slots; ``size`` is the number of images of ``b``."""
-    some = (a[1] >= rows.start) & (a[1] < rows.stop)
-    slot, who = a[0][some], a[1][some]
-    low, high = np.searchsorted(b[0], slot), np.searchsorted(b[0], slot, "right")
-    n = high - low
-    at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-    count = np.bincount(np.repeat(who - rows.start, n) * size + b[1][at], minlength=1)
-    i, j = np.divmod(np.flatnonzero(count >= votes), size)
-    return i + rows.start, j
-
+def _meetings(slots: tuple, group: np.ndarray, side: np.ndarray | None, words: np.ndarray, near: int, star: bool) -> Iterator[np.ndarray]:
+    """Pairs ``x, y`` of images of different groups (and sides) that meet in a slot, as ``x * images + y``, x below y.
 
-def _copies(first: list[tuple], second: list[tuple] | None, votes: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
+    Both corners and neighbours must be within ``near`` bits. ``star`` pairs each row
+    with the first of its slot on the other side only; otherwise all rows of a slot
+    meet those of other groups, in pieces of a few million.
+    """
+    slot, who, a, b = slots
+    order = np.lexsort((who, group[who], slot))
+    slot, who, a, b = slot[order], who[order], a[order], b[order]
+    start = np.r_[True, slot[1:] != slot[:-1]]
+    low = np.flatnonzero(start)[np.cumsum(start) - 1] if len(slot) else slot
+    if star:
+        rows = np.arange(len(slot))
+        other = [low]
+        if side is not None:  # the first row of each side
+            of = side[who]
+            other = [np.minimum.reduceat(np.where(of == s, rows, len(rows)), np.flatnonzero(start))[np.cumsum(start) - 1] for s in (0, 1)] if len(slot) else []
+        parts = [(np.flatnonzero(o < len(rows)), o[o < len(rows)]) for o in other]
+    else:
+        last = np.r_[slot[1:] != slot[:-1], True]
+        high = np.flatnonzero(last)[np.cumsum(start) - 1] + 1 if len(slot) else slot
+        g = group[who]
+        cut = np.flatnonzero(np.r_[(slot[1:] != slot[:-1]) | (g[1:] != g[:-1]), True]) + 1
+        after = cut[np.searchsorted(cut, np.arange(len(slot)), "right")] if len(slot) else slot  # first row of the next group
+        n = high - after
+        rows = np.flatnonzero(n > 0)
+        total = np.cumsum(n[rows])
+        parts = []
+        if len(rows):
+            pieces = np.searchsorted(total, np.arange(0, total[-1], 2_000_000), "left")
+
+            def expand():
+                for at, to in zip(pieces, [*pieces[1:], len(rows)]):
+                    r = rows[at:to]
+                    k = n[r]
+                    yield np.repeat(r, k), np.arange(k.sum()) + np.repeat(after[r] - (np.cumsum(k) - k), k)
+
+            parts = expand()
+    for i, j in parts:
+        x, y = who[i], who[j]
+        apart = (x != y) & (group[x] != group[y])
+        if side is not None:
+            apart &= side[x] != side[y]
+        i, j = i[apart], j[apart]
+        for c in (a, b):
+            x, y = who[i], who[j]
+            d = sum(np.bitwise_count(words[x, c[i], k] ^ words[y, c[j], k]).astype(np.int16) for k in range(words.shape[2]))
+            i, j = i[d <= near], j[d <= near]
+        x, y = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
+        yield np.unique(x * len(words) + y)
+
+
+def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
     """Copies among images ``(id, places, bits)`` of two blocks, or of one; pairs already connected by others are left out."""
-    one = second is None
-    second = first if one else second
-    da, db = [x[2] for x in first], [x[2] for x in second]
-    (wa, la), (wb, lb) = _padded(da), _padded(db)
-    pa_, pb = (_points([x[1] for x in side], w.shape[1]) for side, w in ((first, wa), (second, wb)))
-    sa, sb = _slots(da), _slots(db)
-    shift = 0 if one else len(first)
-    root = np.arange(shift + len(second))
-    # Bounded by the counts that `_met` holds, and by the distances held for each pair.
-    step, pairs = max(1, (1 << 22) // len(second)), max(1, (1 << 20) // (wa.shape[1] * wb.shape[1]))
-    for row in range(0, len(first), step):
-        met, other = _met(sa, sb, slice(row, row + step), len(second), votes)
-        if one:
-            met, other = met[met < other], other[met < other]
-        for at in range(0, len(met), pairs):
-            u, v = met[at : at + pairs], other[at : at + pairs]
-            new = root[u] != root[v + shift]
-            u, v = u[new], v[new]
-            d = np.bitwise_count(wa[u][:, :, None, 0] ^ wb[v][:, None, :, 0])
-            for k in range(1, BITS // 64):
-                d += np.bitwise_count(wa[u][:, :, None, k] ^ wb[v][:, None, :, k])
-            d |= la[u][:, :, None] | lb[v][:, None, :]
-            j_of, i_of = d.argmin(2), d.argmin(1)
-            good = (np.take_along_axis(i_of, j_of, 1) == np.arange(d.shape[1])) & (np.take_along_axis(d, j_of[:, :, None], 2)[:, :, 0] <= hamming)
-            n = good.sum(1)
-            for size in np.unique(n[n >= max(2, matched)]).tolist():
-                of = np.flatnonzero(n == size)
-                i = np.nonzero(good[of])[1].reshape(-1, size)
-                inside = _explained(pa_[u[of][:, None], i], pb[v[of][:, None], np.take_along_axis(j_of[of], i, 1)])
-                for k in of[(inside >= matched) & (inside >= explained * size)].tolist():
-                    x, y = int(u[k]), int(v[k])
-                    if root[x] != root[y + shift]:
-                        root[root == root[y + shift]] = root[x]
-                        yield first[x][0], second[y][0]
-
-
-def _block_copies(votes: int, matched: int, explained: float):
+    images = first + (second or [])
+    size = len(images)
+    side = None if second is None else np.repeat([0, 1], [len(first), len(second)])
+    words, lacks = _padded([x[2] for x in images])
+    points = _points([x[1] for x in images], words.shape[1])
+    slots = _slots([x[1] for x in images], [x[2] for x in images])
+    least = np.clip([len(x[2]) for x in images], 4, matched)
+    root = np.arange(size)
+    batch = max(1, (1 << 20) // words.shape[1] ** 2)
+    tried = np.zeros(0, np.int64)
+    for star in (True, False):  # first what joins large groups of copies, then every meeting that is left
+        seen = []
+        for codes in _meetings(slots, root.copy(), side, words, near, star):
+            codes = codes[np.searchsorted(tried, codes, "right") == np.searchsorted(tried, codes, "left")]
+            for at in range(0, len(codes), batch):
+                u, v = np.divmod(codes[at : at + batch], size)
+                new = root[u] != root[v]
+                u, v = u[new], v[new]
+                if not len(u):
+                    continue
+                d = np.bitwise_count(words[u][:, :, None, 0] ^ words[v][:, None, :, 0])
+                for k in range(1, BITS // 64):
+                    d += np.bitwise_count(words[u][:, :, None, k] ^ words[v][:, None, :, k])
+                d |= lacks[u][:, :, None] | lacks[v][:, None, :]
+                j_of, i_of = d.argmin(2), d.argmin(1)
+                good = (np.take_along_axis(i_of, j_of, 1) == np.arange(d.shape[1])) & (np.take_along_axis(d, j_of[:, :, None], 2)[:, :, 0] <= hamming)
+                n = good.sum(1)
+                need = np.minimum(least[u], least[v])
+                for k in np.unique(n[n >= need]).tolist():
+                    of = np.flatnonzero((n == k) & (n >= need))
+                    i = np.nonzero(good[of])[1].reshape(-1, k)
+                    inside = _explained(points[u[of][:, None], i], points[v[of][:, None], np.take_along_axis(j_of[of], i, 1)])
+                    for m in of[(inside >= need[of]) & (inside >= explained * k)].tolist():
+                        x, y = int(u[m]), int(v[m])
+                        if root[x] != root[y]:
+                            root[root == root[y]] = root[x]
+                            yield images[x][0], images[y][0]
+            if star:
+                seen.append(codes)
+        tried = np.unique(np.concatenate([tried, *seen]))
+
+
+def _block_copies(near: int, matched: int, explained: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(key, held):
             one, two = ([x[1:] for x in held if x[0] == own] for own in key)
             if one and two:
-                found = list(_copies(one, None if key[0] == key[1] else two, votes, matched, explained))
+                found = list(_copies(one, None if key[0] == key[1] else two, near, matched, explained))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         now, held = None, []
@@ -259,14 +331,17 @@ def _block_copies(votes: int, matched: int, explained: float):
     return run
 
 
-def image_copies(images: DataFrame, votes: int = 2, matched: int = 6, explained: float = 0.5, corners: int = CORNERS, block: int = BLOCK) -> DataFrame:
+def image_copies(images: DataFrame, near: int = 14, matched: int = 6, explained: float = 0.5, corners: int = CORNERS, block: int = BLOCK) -> DataFrame:
     """``image_id, n_corners, component_id`` of every row of ``images(image_id, width, height, pixels)``.
 
     ``component_id`` is the smallest id that copies of copies reach. Images of equal
-    size and pixels are copies. All pairs of different ones that share ``votes`` slots of
-    the Hamming tables are tried, unless other copies of their blocks connect them; blocks
-    of about ``block`` images are compared two by two, so work grows with the square of
-    the images. Each image has up to ``corners`` descriptors, its strongest corners.
+    size and pixels are copies. Of different ones, all pairs that share a slot of the
+    Hamming tables, with both corners within ``near`` bits, are tried, unless other
+    copies of their blocks connect them. They are copies if ``matched`` corners (fewer,
+    4 at least, where an image has fewer) and a share of ``explained`` of the matches
+    follow one transform. Blocks of about ``block`` images are compared two by two, so
+    what is sent grows with the square of the images. An image of 64 x 64 pixels has up
+    to ``corners`` descriptors, its strongest corners, and larger ones more, as their side grows.
 
     Null or malformed pixels and rows without an id match nothing, blank images only
     equal ones; a null id has a null component. Rows that repeat are matched by id.
@@ -287,7 +362,7 @@ def image_copies(images: DataFrame, votes: int = 2, matched: int = 6, explained:
     # A task for each pair of blocks, as far as their numbers spread.
     tasks = cuts * (cuts + 1) // 2
     spread = blocks.repartition(tasks, "b1", "b2").sortWithinPartitions("b1", "b2")
-    same = spread.mapInArrow(_block_copies(votes, matched, explained), "a long, b long")
+    same = spread.mapInArrow(_block_copies(near, matched, explained), "a long, b long")
     links = written(links.union(same), "same")
     parts = components(links).withColumnRenamed("node", "image_id")
     return feats.join(parts, "image_id", "left").select(
