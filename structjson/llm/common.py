@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -56,6 +56,23 @@ def drop_written(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, salt: Column, rows: int = 100_000) -> DataFrame:
+    """``left`` with its row of ``right``, whose column ``count`` has the left rows of each key.
+
+    Keys of more than ``rows`` left rows are dealt out to several tasks by ``salt``;
+    these keys are broadcast, 10,000 at most, as ``rows`` grows with the total.
+    Keys are unique in ``right`` and not null.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    most = max(rows, total // 10_000 + 1)
+    hot = F.broadcast(right.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_cuts")))
+    cuts = F.coalesce("_cuts", F.lit(1))
+    one = left.join(hot, keys, "left").withColumn("_part", F.pmod(salt, cuts).cast("int")).drop("_cuts")
+    parts = F.explode(F.sequence(F.lit(0), cuts - 1))
+    many = right.join(hot, keys, "left").withColumn("_part", parts).drop("_cuts")
+    return one.join(many, [*keys, "_part"], "left").drop("_part")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``links``: rows ``(node, component)``.
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, spread_join, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Host words that mark a URL as weakly labelled bad.
-SUSPECT = ("casino", "bets", "pills", "spam", "adult", "porn", "ads")
+#: Groups that siblings with rates of their own merge into: equal steps of the arcsine of the rate's root.
+RATES = 8
 
 
 def host_of(url: Column) -> Column:
@@ -43,55 +44,64 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
     return name, verdict
 
 
-def shaped(path: Column, depth: int) -> Column:
-    """Path segments with their plainly variable parts as wildcards; what lies below ``depth`` as ``**``."""
+def shaped(path: Column) -> Column:
+    """Path segments with their plainly variable parts as wildcards."""
     kinds = [
         (r"(?<=/)[0-9a-f]{8}-[0-9a-f-]{27}(?=[/.]|\z)", "{uuid}"),
         (r"(?<=/)(?=[a-z]*[0-9])[0-9a-f]{12,}(?=[/.]|\z)", "{hex}"),
         (r"[0-9]+", "{n}"),
     ]
-    out = reduce(lambda p, k: F.regexp_replace(p, *k), kinds, path)
-    return F.regexp_replace(out, rf"\A((?:/[^/]*){{{depth}}})/.+\z", r"$1/**")
-
-
-def _levels(shapes: DataFrame, depth: int, max_children: int, min_share: float, z: float) -> DataFrame:
-    """Adds ``template``: level by level, rare siblings of a crowded node become ``*``,
-    then literal siblings whose bad rates a two-proportion test cannot tell apart merge."""
-    seg = F.split(F.col("shape"), "/")
-    t = written(shapes.withColumn("template", F.lit("")), "templates")
-    for level in range(1, depth + 2):
-        t = t.withColumn("seg", F.get(seg, F.lit(level)))
-        child = t.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cb"), F.sum("labelled").alias("cl"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("cn").alias("total"))
-        kept = child.join(node, ["host", "template"]).withColumn(
-            "wild", (F.col("kids") > max_children) & (F.col("cn") < min_share * F.col("total"))
-        )
-        # The siblings that stay literal are few: `max_children`, or those with a share of `min_share`.
-        groups = kept.where("not wild").groupBy("host", "template").agg(
-            F.array_sort(F.collect_list(F.struct((F.col("cb") / F.greatest("cl", F.lit(1.0))).alias("rate"), "seg", F.col("cb").cast("double").alias("b"), F.col("cl").cast("double").alias("l")))).alias("sibs")
-        )
-        one = "array(struct(array(x.seg) as segs, x.b as b, x.l as l))"
-        p = "((element_at(a, -1).b + x.b) / greatest(element_at(a, -1).l + x.l, 1))"
-        gap = "abs(element_at(a, -1).b / greatest(element_at(a, -1).l, 1) - x.rate)"
-        se = f"sqrt(greatest({p} * (1 - {p}), 1e-4) * (1 / greatest(element_at(a, -1).l, 1) + 1 / greatest(x.l, 1)))"
-        joined = "struct(concat(element_at(a, -1).segs, array(x.seg)) as segs, element_at(a, -1).b + x.b as b, element_at(a, -1).l + x.l as l)"
-        start = "cast(array() as array<struct<segs:array<string>,b:double,l:double>>)"
-        merged = F.expr(
-            f"aggregate(sibs, {start}, (a, x) -> case when size(a) = 0 then {one} "
-            f"when {gap} <= {z} * {se} then concat(slice(a, 1, size(a) - 1), array({joined})) else concat(a, {one}) end)"
-        )
-        names = (
-            groups.select("host", "template", F.explode(merged).alias("g"))
-            .select("host", "template", F.explode("g.segs").alias("seg"),
-                    F.when(F.size("g.segs") > 1, F.concat(F.lit("("), F.array_join(F.array_sort("g.segs"), "|"), F.lit(")"))).otherwise(F.col("g.segs")[0]).alias("name"))
-        )
-        t = (
-            t.join(names, ["host", "template", "seg"], "left")
-            .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))))
-            .drop("seg", "name")
-        )
-        t = written(t, "templates")  # each level reads the one before several times
-    return t
+    return reduce(lambda p, k: F.regexp_replace(p, *k), kinds, path)
+
+
+def _names(child: DataFrame, max_children: int, z: float) -> DataFrame:
+    """``host, template, seg, name`` of the siblings ``seg`` below each node.
+
+    A sibling has a rate of its own if a two-proportion test tells its labels from
+    those of all its other siblings; such ones merge by ``RATES`` steps of their
+    rate, and all others with each other. What merges is named after its members, or
+    by a wildcard if they are more than ``max_children``.
+    """
+    b, n, rb, rn = F.col("cb"), F.col("cl"), F.col("nb") - F.col("cb"), F.col("nl") - F.col("cl")
+    rate, other, pool = b / n, rb / rn, F.col("nb") / F.col("nl")
+    own = F.abs(rate - other) > z * F.sqrt(F.greatest(pool * (1 - pool), F.lit(1e-4)) * (1 / n + 1 / rn))
+    step = F.least(F.lit(RATES - 1), F.floor(F.asin(F.sqrt(rate)) / (math.pi / 2) * RATES)).cast("int")
+    told = F.when((n > 0) & (rn > 0) & own, step).otherwise(F.lit(-1))
+    grouped = written(child.select("host", "template", "seg", told.alias("told")), "siblings")
+    key = ["host", "template", "told"]
+    sizes = grouped.groupBy(*key).agg(F.count("*").alias("kids"))
+    lists = grouped.join(sizes.where(F.col("kids") <= max_children), key).groupBy(*key).agg(F.sort_array(F.collect_list("seg")).alias("segs"))
+    listed = F.when(F.size("segs") == 1, F.col("segs")[0]).otherwise(F.concat(F.lit("("), F.array_join("segs", "|"), F.lit(")")))
+    wild = F.when(F.col("told") < 0, F.lit("*")).otherwise(F.concat(F.lit("*~"), F.col("told").cast("string")))
+    return grouped.join(sizes.join(lists, key, "left"), key).select("host", "template", "seg", F.coalesce(listed, wild).alias("name"))
+
+
+def templates(shapes: DataFrame, max_children: int, z: float) -> DataFrame:
+    """Adds ``template`` to ``shapes(host, shape, n, bad, labelled)``, level by level.
+
+    A node whose labels are all good or all bad, or that holds one shape, is not cut
+    further, as no test could tell its branches apart; what lies below it is ``/**``.
+    Levels go on until no other node is left.
+    """
+    rest = written(shapes.withColumn("template", F.lit("")), "templates")
+    level, done = 0, []
+    while True:
+        level += 1
+        seg = F.get(F.split("shape", "/"), F.lit(level))
+        node = rest.groupBy("host", "template").agg(F.sum("bad").alias("nb"), F.sum("labelled").alias("nl"), F.count("*").alias("many"))
+        mixed = node.where("nb > 1e-9 and nb < nl - 1e-9 and many > 1").drop("many")
+        now = written(rest.join(mixed, ["host", "template"], "left").withColumn("seg", seg), "templates")
+        ended = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/**")))
+        done.append(written(now.where("nl is null or seg is null").select("host", "shape", "n", "bad", "labelled", ended.alias("template")), "templates"))
+        cut = now.where("nl is not null and seg is not null")
+        drop_written(rest)
+        if cut.isEmpty():
+            drop_written(now)
+            return reduce(DataFrame.union, done)
+        child = cut.groupBy("host", "template", "seg", "nb", "nl").agg(F.sum("bad").alias("cb"), F.sum("labelled").alias("cl"))
+        named = cut.join(_names(child, max_children, z), ["host", "template", "seg"])
+        rest = written(named.select("host", "shape", "n", "bad", "labelled", F.concat("template", F.lit("/"), "name").alias("template")), "templates")
+        drop_written(now)
 
 
 def filter_urls(
@@ -99,14 +109,10 @@ def filter_urls(
     labels: DataFrame | None,
     rules: dict[str, str],
     id_col: str = "page_id",
-    depth: int = 4,
     max_children: int = 24,
-    min_share: float = 0.02,
-    z: float = 1.96,
+    z: float = 2.58,
     prior: float = 12.0,
     reject_from: float = 0.6,
-    suspect: tuple[str, ...] = SUSPECT,
-    suspect_weight: float = 10.0,
     base_rate: float = 0.1,
 ) -> DataFrame:
     """Judge the ``url`` of every row of ``pages``: ``id, url, host, path, rule, template, purity, verdict``.
@@ -115,42 +121,43 @@ def filter_urls(
     templates decides: a template is blocked if its share of bad labels, smoothed
     by ``prior`` labels at its host's rate (itself smoothed towards the rate of all
     labels, and that towards ``base_rate``), reaches ``reject_from``. ``labels(id, bad)`` says which rows are known
-    good (0) or bad (1) and may be None; a host word of ``suspect`` counts as
-    ``suspect_weight`` bad labels for each of its URLs. A URL without a host is allowed.
+    good (0) or bad (1) and may be None; nothing else counts against a URL. A URL
+    without a host is allowed.
+
+    In the tree, numbers, hashes and UUIDs in a path are wildcards. Siblings keep
+    apart if their labels differ by ``z`` standard errors from the rest of their
+    node, else they merge; more than ``max_children`` merged ones become a wildcard.
+    All segments of a path count as far as labels below its node differ.
 
     Null or malformed URLs give an empty host and path and no rule. Repeated rows
-    are judged each; repeated labels of an id count by their mean. Statistics are
-    over all rows, aggregated before they are shuffled. Other columns of
-    ``pages`` are left out; an empty table gives no rows.
+    are judged each; repeated labels of an id count by their mean, null labels and
+    ids not at all. Statistics are over all rows, aggregated before they are
+    shuffled. Other columns of ``pages`` are left out; an empty table gives no rows.
     """
     url = F.col("url")
-    parsed = pages.select(F.col(id_col).alias("_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("shape", shaped(F.col("path"), depth))
-    words = F.split(F.col("host"), r"[^a-z0-9]+")
-    weak = F.arrays_overlap(words, F.array(*map(F.lit, suspect))).cast("double") * suspect_weight if suspect else F.lit(0.0)
-    if labels is not None:
-        known = labels.groupBy(F.col(id_col).alias("_id")).agg(F.avg("bad").alias("_bad"))
-        seen = parsed.select("_id", "host", "shape").join(known, "_id")
-        strong = seen.groupBy("host", "shape").agg(F.sum("_bad").alias("sb"), F.count("_bad").cast("double").alias("sl"))
-    # One row; host words say nothing about the share of bad URLs overall.
-    sums = (strong.agg(F.sum("sb").alias("gb"), F.sum("sl").alias("gl")) if labels is not None else pages.sparkSession.range(1).select(F.lit(0.0).alias("gb"), F.lit(0.0).alias("gl")))
-    overall = sums.select(((F.coalesce("gb", F.lit(0.0)) + base_rate * prior) / (F.coalesce("gl", F.lit(0.0)) + prior)).alias("rate"))
-    shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(weak).alias("weak"))
+    parsed = pages.select(F.col(id_col).alias("_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("shape", shaped(F.col("path")))
+    shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"))
     if labels is not None:
-        shapes = shapes.join(strong, ["host", "shape"], "left").fillna(0.0, ["sb", "sl"])
+        known = labels.where(F.col("bad").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col("bad").cast("double")).alias("_bad"))
+        strong = parsed.select("_id", "host", "shape").join(known, "_id").groupBy("host", "shape").agg(F.sum("_bad").alias("bad"), F.count("_bad").cast("double").alias("labelled"))
+        shapes = shapes.join(strong, ["host", "shape"], "left").fillna(0.0, ["bad", "labelled"])
     else:
-        shapes = shapes.withColumn("sb", F.lit(0.0)).withColumn("sl", F.lit(0.0))
-    shapes = shapes.select("host", "shape", "n", (F.col("weak") + F.col("sb")).alias("bad"), (F.col("weak") + F.col("sl")).alias("labelled"))
-    t = _levels(shapes, depth, max_children, min_share, z)
-    by_host = t.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).join(F.broadcast(overall)).select(
-        "host", ((F.col("hb") + prior * F.col("rate")) / (F.col("hl") + prior)).alias("host_rate")
+        shapes = shapes.withColumn("bad", F.lit(0.0)).withColumn("labelled", F.lit(0.0))
+    shapes = written(shapes, "shapes")
+    bad, labelled = shapes.agg(F.sum("bad"), F.sum("labelled")).first()
+    overall = ((bad or 0.0) + base_rate * prior) / ((labelled or 0.0) + prior)
+    t = templates(shapes, max_children, z)
+    by_host = t.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).select(
+        "host", ((F.col("hb") + prior * overall) / (F.col("hl") + prior)).alias("host_rate")
     )
     rates = (
         t.groupBy("host", "template").agg(F.sum("bad").alias("tb"), F.sum("labelled").alias("tl")).join(by_host, "host")
         .select("host", "template", ((F.col("tb") + prior * F.col("host_rate")) / (F.col("tl") + prior)).alias("purity"))
     )
-    judged = t.select("host", "shape", "template").join(rates, ["host", "template"])
+    judged = written(t.select("host", "shape", "n", "template").join(rates, ["host", "template"]), "judged")
+    drop_written(shapes)
     name, says = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when((F.col("host") != "") & (F.col("purity") >= reject_from), "block").otherwise("allow")
-    return parsed.join(judged, ["host", "shape"], "left").select(
+    return spread_join(parsed, judged, ["host", "shape"], "n", F.xxhash64("_id", "url")).select(
         F.col("_id").alias(id_col), "url", "host", "path", name.alias("rule"), "template", "purity", F.coalesce(says, method).alias("verdict")
     )
