@@ -1,17 +1,23 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-The network predicts each token from the ``WINDOW`` tokens on both of its sides:
-a table of hidden contributions for each place of the window, tanh, and a softmax
-in two steps (a class of 32 token ids, then the id within it). Vocabulary counts
-run over the whole corpus. Training is parallel: every partition trains a copy on
-its own text in numpy, and the copies are averaged, weighted by what they saw.
+The network predicts each token from the ``WINDOW`` tokens on both of its sides: a
+table of hidden contributions for each place of the window, tanh, and a softmax along
+a tree of classes. A word's id spells its path: digits of base ``SIDE``, most frequent
+words first, so a level's softmax has ``SIDE`` ways. What leads to a node gates the
+hidden units before that node's softmax. Vocabulary counts run over the whole corpus.
+
+Training is parallel: every partition trains a copy on its own text in numpy, and the
+copies are averaged, weighted by what they saw. So the model depends on how the
+documents are split, within what such copies differ by.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -22,138 +28,199 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 WINDOW = 2
-SIDE = 32  # ids are SIDE * class + place
-VOCAB = SIDE * SIDE
+SIDE = 16
+#: Levels of the tree: as many as the frequent words need, within these.
+LEVELS = (2, 4)
+#: A word that occurs less often shares an id with others, by hash.
+FREQUENT = 20
+HIDDEN = 24
+#: Words with a row of their own as a context; others share the same number of rows by hash.
+CONTEXTS = 2048
 PAD = 0
-OTHERS = 255  # ids 1..OTHERS are shared by hash, the rest are the most frequent words
-HIDDEN = 32
-HEAD = 200_000  # words whose counts every scoring task holds; those of others are joined
-_SHAPES = {
-    "ctx": (2 * WINDOW, VOCAB, HIDDEN), "b": (HIDDEN,), "u": (HIDDEN, SIDE), "ub": (SIDE,),
-    "cls": (SIDE, HIDDEN), "w": (HIDDEN, SIDE), "wb": (SIDE, SIDE),
-}
-_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+#: Words whose counts every task holds beside the vocabulary's; those of others are joined.
+HEAD = 200_000
+_ONES = np.ones(SIDE, np.float32)
 
 
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+@dataclass
+class Model:
+    """What :func:`fit` learns: words by rank, the share of each shared id's tokens, parameters."""
+
+    levels: int
+    words: list[str]
+    head: list[tuple[str, int]]
+    shared_total: np.ndarray  # tokens of each shared id
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    @property
+    def size(self) -> int:
+        return SIDE**self.levels
+
+    @property
+    def shared(self) -> int:
+        """Ids 1 and up that words share by hash; id 0 is the padding."""
+        return shared_ids(self.levels)
+
+
+def shared_ids(levels: int) -> int:
+    return SIDE**levels // 16 - 1
+
+
+def shapes(levels: int) -> dict[str, tuple[int, ...]]:
+    """``nodes`` has a row for each inner node of the tree, by level: its gates, then its biases."""
+    return {
+        "ctx": (2 * WINDOW * 2 * CONTEXTS, HIDDEN), "b": (HIDDEN,), "w": (levels, HIDDEN, SIDE),
+        "nodes": (sum(SIDE**k for k in range(levels)), HIDDEN + SIDE),
+    }
+
+
+def views(flat: np.ndarray, levels: int) -> dict[str, np.ndarray]:
     """Named parts of a flat parameter vector."""
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    for name, shape in shapes(levels).items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def start(seed: int = 0) -> np.ndarray:
+def start(levels: int, frequency: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Small random parameters; the biases start at the frequencies of ids."""
     rng = np.random.default_rng(seed)
-    flat = np.zeros(_SIZE, np.float32)
-    p = views(flat)
-    for name in ("ctx", "u", "cls", "w"):
-        p[name][...] = rng.normal(0, 0.1, p[name].shape)
+    flat = np.zeros(sum(int(np.prod(s)) for s in shapes(levels).values()), np.float32)
+    p = views(flat, levels)
+    p["ctx"][...] = rng.normal(0, 0.1, p["ctx"].shape)
+    p["w"][...] = rng.normal(0, 0.1, p["w"].shape)
+    p["nodes"][:, :HIDDEN] = rng.normal(1, 0.1, (len(p["nodes"]), HIDDEN))
+    at = 0
+    for k in range(levels):
+        f = frequency.reshape(SIDE**k, SIDE, -1).sum(2)
+        p["nodes"][at : at + SIDE**k, HIDDEN:] = np.log(f / f.sum(1, keepdims=True))
+        at += SIDE**k
     return flat
 
 
-class Ids(dict):
-    """Token ids of words: the vocabulary's, else one shared by hash."""
+def paths(levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """By level and id, the node on its way and which of the node's ways it takes."""
+    ids = np.arange(SIDE**levels)
+    nodes, ways, at = [], [], 0
+    for k in range(levels):
+        nodes.append(at + ids // SIDE ** (levels - k))
+        ways.append(ids // SIDE ** (levels - k - 1) % SIDE)
+        at += SIDE**k
+    return np.array(nodes, np.int32), np.array(ways, np.int32)
 
-    def __missing__(self, word: str) -> int:
-        n = 1 + zlib.crc32(word.encode()) % OTHERS
-        if len(self) < 500_000:
-            self[word] = n
-        return n
 
+class Ids(dict):
+    """Ids of words: the vocabulary's, else one shared by hash. Remembers words for speed."""
 
-def vocabulary(words: list[str]) -> Ids:
-    return Ids({w: OTHERS + 1 + i for i, w in enumerate(words[: VOCAB - OTHERS - 1])})
-
+    def __init__(self, words: list[str], levels: int):
+        self.shared = shared_ids(levels)
+        super().__init__((w, self.shared + 1 + k) for k, w in enumerate(words))
 
-def token_ids(text: str | None, ids: Ids) -> np.ndarray:
-    return np.fromiter(map(ids.__getitem__, (text or "").split()), np.int32)
+    def __missing__(self, word: str) -> int:
+        return 1 + zlib.crc32(word.encode()) % self.shared
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def context_rows(size: int, shared: int) -> np.ndarray:
+    """The row of the context tables by id: the padding's, frequent words' own, and rows shared by hash."""
+    ids = np.arange(size)
+    rank = ids - shared - 1
+    own = (rank >= 0) & (rank < CONTEXTS - 1)
+    rows = np.where(own, 1 + rank, CONTEXTS + (ids * 40503 >> 4) % CONTEXTS)
+    rows[PAD] = 0
+    return rows.astype(np.int32)
 
 
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 2 * WINDOW neighbours of each place, PAD beyond the ends."""
-    padded = np.concatenate([np.full(WINDOW, PAD, np.int32), ids, np.full(WINDOW, PAD, np.int32)])
+def contexts(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Context rows of the neighbours of each place in a text of context rows, by place of the window."""
+    padded = np.concatenate([np.zeros(WINDOW, rows.dtype), rows, np.zeros(WINDOW, rows.dtype)])
     shifts = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
-    return np.stack([padded[at + k] for k in shifts])
-
-
-def forward(p: dict, ctx: np.ndarray, target: np.ndarray):
-    h = p["ctx"][0][ctx[0]]
-    for k in range(1, len(ctx)):
-        h = h + p["ctx"][k][ctx[k]]
-    h = np.tanh(h + p["b"])
-    hi, lo = target // SIDE, target % SIDE
-    a = _log_softmax(h @ p["u"] + p["ub"])
-    h2 = h + p["cls"][hi]
-    b = _log_softmax(h2 @ p["w"] + p["wb"][hi])
-    rows = np.arange(len(target))
-    return a[rows, hi] + b[rows, lo], (h, h2, hi, lo, a, b, rows)
-
-
-def train(flat: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> tuple[np.ndarray, int]:
+    return np.stack([padded[at + k] + 2 * CONTEXTS * i for i, k in enumerate(shifts)])
+
+
+def _hidden(p: dict, ctx: np.ndarray) -> np.ndarray:
+    h = p["ctx"].take(ctx[0], 0)
+    for c in ctx[1:]:
+        h += p["ctx"].take(c, 0)
+    h += p["b"]
+    return np.tanh(h, out=h)
+
+
+def _ways(p: dict, h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By level and place: the node's row, the gated hidden units, and the logits of its ways."""
+    of = p["nodes"].take(node, 0)
+    gated = of[:, :, :HIDDEN] * h
+    z = np.matmul(gated, p["w"])
+    z += of[:, :, HIDDEN:]
+    return of, gated, np.minimum(z, 80, out=z)
+
+
+def log_probabilities(p: dict, tree: tuple[np.ndarray, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log probability of each target id in its context."""
+    _, _, z = _ways(p, _hidden(p, ctx), tree[0].take(target, 1))
+    taken = np.take_along_axis(z, tree[1].take(target, 1)[:, :, None], 2)[:, :, 0]
+    total = np.exp(z) @ _ONES
+    if not total.min() > 1e-30:  # all ways of a node are far below zero
+        most = z.max(2)
+        return (taken - most - np.log(np.exp(z - most[:, :, None]) @ _ONES)).sum(0)
+    return (taken - np.log(total)).sum(0)
+
+
+def _add_up(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of ``values``, repeated to the length of ``index``, with equal ``index``; and these indices."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # there are fewer than 2**16 rows of any table
+    which = index.take(order)
+    first = np.r_[True, which[1:] != which[:-1]]
+    times, n = values.shape[1], int(first.sum())
+    place = np.empty(len(index), np.int64)
+    place[order] = (np.cumsum(first) - 1) * times
+    cells = place[:, None] + np.arange(times)
+    spread = np.broadcast_to(values, (len(index) // len(values), *values.shape))
+    return which[first], np.bincount(cells.ravel(), spread.ravel(), n * times).reshape(n, times).astype(np.float32)
+
+
+def train(flat: np.ndarray, levels: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> tuple[np.ndarray, int]:
     """Adagrad over ``(contexts, targets)``; the new parameters and how many targets they saw."""
     flat = flat.copy()
-    p, seen = views(flat), 0
-    square = views(np.full(_SIZE, 0.1, np.float32))
+    p, seen, tree = views(flat, levels), 0, paths(levels)
+    square = views(np.full(len(flat), 0.1, np.float32), levels)
+
+    def step(name: str, g: np.ndarray, at=slice(None)) -> None:
+        s = square[name][at] + g * g
+        square[name][at] = s
+        p[name][at] -= rate * g / np.sqrt(s)
+
     for ctx, target in batches:
-        _, (h, h2, hi, lo, a, b, rows) = forward(p, ctx, target)
         n = len(target)
-        da, db = np.exp(a), np.exp(b)
-        da[rows, hi] -= 1
-        db[rows, lo] -= 1
-        da, db = da / n, db / n
-        dh2 = db @ p["w"].T
-        dh = (da @ p["u"].T + dh2) * (1 - h * h)
-        by_class = np.zeros((SIDE, n), np.float32)
-        by_class[hi, rows] = 1
-        grads = {"u": h.T @ da, "ub": da.sum(0), "w": h2.T @ db, "wb": by_class @ db, "cls": by_class @ dh2, "b": dh.sum(0)}
-        for k in range(len(ctx)):
-            # Sums of equal rows: sort, then add up runs.
-            order = np.argsort(ctx[k], kind="stable")
-            which = ctx[k][order]
-            first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-            g, rows_k = np.add.reduceat(dh[order], first, 0), which[first]
-            square["ctx"][k][rows_k] += g * g
-            p["ctx"][k][rows_k] -= rate * g / np.sqrt(square["ctx"][k][rows_k])
-        for name, g in grads.items():
-            square[name][...] += g * g
-            p[name][...] -= rate * g / np.sqrt(square[name])
+        h = _hidden(p, ctx)
+        node, way = tree[0].take(target, 1), tree[1].take(target, 1)
+        of, gated, z = _ways(p, h, node)
+        np.exp(z, out=z)
+        z /= np.maximum(z @ _ONES, 1e-30)[:, :, None]
+        z.reshape(-1, SIDE)[np.arange(levels * n), way.ravel()] -= 1
+        z /= n
+        back = np.matmul(z, p["w"].transpose(0, 2, 1))
+        dh = np.einsum("knh,knh->nh", back, of[:, :, :HIDDEN])
+        back *= h
+        at, g = _add_up(node.ravel(), np.concatenate([back, z], 2).reshape(-1, HIDDEN + SIDE))
+        step("w", np.matmul(gated.transpose(0, 2, 1), z))
+        step("nodes", g, at)
+        dh *= 1 - h * h
+        step("b", dh.sum(0))
+        at, g = _add_up(ctx.ravel(), dh)
+        step("ctx", g, at)
         seen += n
     return flat, seen
 
 
-def _target_log_p(z: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore", under="ignore"):
-        total = np.exp(z).sum(1)
-    if not (np.isfinite(total).all() and total.min() > 1e-30):
-        return _log_softmax(z)[rows, target]
-    return z[rows, target] - np.log(total)
-
-
-def score_ids(p: dict, ids: np.ndarray, chunk: int = 2048) -> float:
-    """Summed log probability of every token given both of its sides."""
-    total = 0.0
-    padded = np.concatenate([np.full(WINDOW, PAD, np.int32), ids, np.full(WINDOW, PAD, np.int32)])
-    tables = [(k if k < WINDOW else k + 1, t) for k, t in enumerate(p["ctx"])]
+def score_ids(model: Model, ids: np.ndarray, chunk: int = 2048) -> float:
+    """Summed log probability of every id given both of its sides."""
+    p, tree, total = views(model.flat, model.levels), paths(model.levels), 0.0
+    rows = context_rows(model.size, model.shared)[ids]
     for at in range(0, len(ids), chunk):
-        target = ids[at : at + chunk]
-        n = len(target)
-        h = np.tile(p["b"], (n, 1))
-        for k, t in tables:
-            h += t.take(padded[at + k : at + k + n], 0)
-        np.tanh(h, out=h)
-        hi, lo, rows = target // SIDE, target % SIDE, np.arange(n)
-        log_p = _target_log_p(h @ p["u"] + p["ub"], rows, hi)
-        h += p["cls"].take(hi, 0)
-        log_p += _target_log_p(h @ p["w"] + p["wb"].take(hi, 0), rows, lo)
-        total += float(log_p.sum(dtype=np.float64))
+        some = np.arange(at, min(at + chunk, len(ids)))
+        total += float(log_probabilities(p, tree, contexts(rows, some), ids[some]).sum(dtype=np.float64))
     return total
 
 
@@ -177,41 +244,112 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int = 512, seed: int = 0) -> tuple[np.ndarray, list[str], DataFrame]:
-    """Parameters, vocabulary words and the counts ``word, n`` of all words.
+def vocabulary(counts: DataFrame, most_levels: int = LEVELS[1]) -> Model:
+    """A model without parameters: the words with ids of their own, and the counts of ids."""
+    frequent = counts.where(F.col("n") >= FREQUENT).count()
+    levels = LEVELS[0]
+    while levels < most_levels and SIDE**levels - shared_ids(levels) - 1 < frequent:
+        levels += 1
+    shared = shared_ids(levels)
+    own = SIDE**levels - shared - 1
+    top = counts.orderBy(F.desc("n"), "word").limit(own + HEAD).collect()
+    words, head = [r[0] for r in top[:own]], [(r[0], r[1]) for r in top[own:]]
+    total = np.zeros(shared + 1)
+    bucket = (F.crc32(F.col("word").cast("binary")) % shared + 1).cast("int").alias("id")
+    for i, n in counts.groupBy(bucket).agg(F.sum("n")).collect():  # a row for each shared id
+        total[i] = n
+    for word, n in top[:own]:
+        total[1 + zlib.crc32(word.encode()) % shared] -= n
+    frequency = np.full(SIDE**levels, 0.01)
+    frequency[: shared + 1] += total
+    frequency[shared + 1 : shared + 1 + len(words)] += [r[1] for r in top[:own]]
+    return Model(levels, words, head, total, start(levels, frequency))
+
+
+def encoded(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``row, doc_id, n, ids, share`` of every row of ``docs``, as a written table.
 
-    A round trains on each ``stride``-th place of every text, the next one on the
-    places after those; ``stride`` rounds, as many as there are without ``rounds``,
-    make each token a target once. Slices of the copies are averaged by tasks of their own, and the driver gets one copy.
+    ``ids`` are unsigned 16-bit; ``share`` sums the logs of words' shares of the ids
+    that they have in common with others, by their counts in the corpus, one at least.
     """
-    counts = written(count_words(docs), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - OTHERS - 1).collect()
-    words = [r[0] for r in top]
-    flat = start(seed)
-    known = np.array([r[1] for r in top], float)
-    rest = float(counts.agg(F.sum("n")).first()[0] or 0) - known.sum()
-    # The output biases start at corpus frequencies.
-    freq = np.full(VOCAB, 0.01)
-    freq[1 : OTHERS + 1] += rest / OTHERS
-    freq[OTHERS + 1 : OTHERS + 1 + len(known)] += known
-    freq = freq.reshape(SIDE, SIDE)
-    views(flat)["ub"][...] = np.log(freq.sum(1) / freq.sum())
-    views(flat)["wb"][...] = np.log(freq / freq.sum(1, keepdims=True))
+    levels, words, head_words = model.levels, model.words, [w for w, _ in model.head]
+    shared = model.shared
+    log_total = np.log(np.maximum(model.shared_total, 1))
+    head_ids = np.array([1 + zlib.crc32(w.encode()) % shared for w in head_words], np.int64)
+    head_log = np.log([n for _, n in model.head]) - log_total[head_ids] if head_words else np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = SIDE**levels
+        # Places: ids, then the head's words, and below zero what is in neither.
+        places = _Places(Ids(words, levels), shared)
+        places.update((w, size + k) for k, w in enumerate(head_words))
+        id_at = np.concatenate([np.arange(shared, 0, -1), np.arange(size), head_ids]).astype(np.uint16)
+        log_at = np.concatenate([-log_total[shared:0:-1], np.zeros(size), head_log])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                n, ids, share, tails = [], [], [], []
+                for text in part.column(1):
+                    tokens = (text.as_py() or "").split()
+                    t = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens)) + shared
+                    n.append(len(t))
+                    ids.append(id_at[t].tobytes())
+                    share.append(float(log_at[t].sum()))
+                    tails.append([tokens[k] for k in np.flatnonzero(t < shared)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(share, pa.float64()), pa.array(tails, pa.list_(pa.string()))],
+                    ["doc_id", "n", "ids", "share", "tail"],
+                )
+
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, n long, ids binary, share double, tail array<string>"
+    )
+    made = written(made.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    # Words that occur once, or never, have a logarithm of 0.
+    more = (
+        made.select("row", F.explode("tail").alias("word")).join(counts.where("n > 1"), "word")
+        .groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    )
+    more = written(more, "shares")
+    return made.drop("tail").join(more, "row", "left").withColumn("share", F.col("share") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+
+class _Places(dict):
+    """Places of words: a vocabulary or head word's, else minus the id shared by hash."""
+
+    def __init__(self, ids: Ids, shared: int):
+        super().__init__(ids)
+        self.shared = shared
+
+    def __missing__(self, word: str) -> int:
+        n = -1 - zlib.crc32(word.encode()) % self.shared
+        if len(self) < 700_000:
+            self[word] = n
+        return n
+
+
+def learned(texts: DataFrame, model: Model, stride: int = 2, batch: int = 1024) -> Model:
+    """``model`` with parameters trained on ``texts(ids)``: every token is a target once.
+
+    Round ``k`` of ``stride`` trains on the places ``k, k + stride, ...`` of every text
+    and averages the copies. Slices of them are added up in two steps, each of about
+    the square root of their number, and the driver gets one copy.
+    """
+    flat, levels, rows_of = model.flat, model.levels, context_rows(model.size, model.shared)
     parts = 16
-    for k in range(stride if rounds is None else rounds):
+    for k in range(stride):
 
         def run(batches: Iterator[pa.RecordBatch], flat=flat, k=k) -> Iterator[pa.RecordBatch]:
-            ids = vocabulary(words)
-
             def windows():
                 held, size = [], 0
                 for record in batches:
-                    for text in record.column(0).to_pylist():
-                        t = token_ids(text, ids)
+                    for ids in record.column(0):
+                        t = np.frombuffer(ids.as_py(), np.uint16).astype(np.int64)
+                        rows = rows_of[t]
                         places = np.arange(k % stride, len(t), stride)
                         for at in range(0, len(places), batch):
                             some = places[at : at + batch]
-                            held.append((contexts(t, some), t[some]))
+                            held.append((contexts(rows, some), t[some]))
                             size += len(some)
                             if size >= batch:
                                 yield np.concatenate([c for c, _ in held], 1), np.concatenate([y for _, y in held])
@@ -219,7 +357,7 @@ def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int
                 if size:
                     yield np.concatenate([c for c, _ in held], 1), np.concatenate([y for _, y in held])
 
-            new, seen = train(flat, windows())
+            new, seen = train(flat, levels, windows())
             if seen:
                 cut = np.array_split(new * np.float32(seen), parts)
                 yield pa.RecordBatch.from_arrays(
@@ -234,78 +372,70 @@ def fit(docs: DataFrame, rounds: int | None = None, stride: int = 2, batch: int
             return pd.DataFrame({"part": [pdf.part.iloc[0]], "v": [total.astype(np.float32)], "seen": [pdf.seen.sum()]})
 
         schema = "part int, v array<float>, seen long"
-        copies = written(docs.select(F.col("text").cast("string")).mapInArrow(run, schema), "copies")
-        # In two steps, so that no task adds up more than a few hundred copies.
-        salted = copies.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(64))).groupBy("part", "salt").applyInPandas(lambda pdf: add(pdf), schema)
+        copies = written(texts.select("ids").mapInArrow(run, schema), "copies")
+        salts = math.isqrt(copies.where("part = 0").count()) + 1
+        salted = copies.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts))).groupBy("part", "salt").applyInPandas(lambda pdf: add(pdf), schema)
         sums = salted.groupBy("part").applyInPandas(lambda pdf: add(pdf), schema).collect()
         drop_written(copies)
         if sums:
             flat = np.concatenate([np.asarray(r["v"], np.float64) / r["seen"] for r in sorted(sums, key=lambda r: r["part"])]).astype(np.float32)
-    return flat, words, counts
-
+    return Model(model.levels, model.words, model.head, model.shared_total, flat)
 
-class Places(dict):
-    """Places of words: a vocabulary or head word's, else minus the id shared by hash."""
 
-    def __missing__(self, word: str) -> int:
-        n = -1 - zlib.crc32(word.encode()) % OTHERS
-        if len(self) < 700_000:
-            self[word] = n
-        return n
+def fit(docs: DataFrame, **options) -> tuple[Model, DataFrame]:
+    """A model of all texts of ``docs`` and the counts ``word, n`` of all words."""
+    counts = written(count_words(docs), "counts")
+    model = vocabulary(counts)
+    return learned(encoded(docs, model, counts), model, **options), counts
 
 
-def score(docs: DataFrame, flat: np.ndarray, words: list[str], counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, pll, mean_pll`` of every row; tokens are runs of non-white-space.
 
-    ``pll`` sums over all tokens of the whole text. A token outside the vocabulary has
-    the probability of its shared id times its word's share of that id's tokens in
+    ``pll`` sums over all tokens of the whole text. A word that shares its id has
+    the probability of the id times the word's share of that id's tokens in
     ``counts``, at least one of them. Null, empty or blank text has
     no tokens, a ``pll`` of 0 and a null mean. Ids may be null or repeat; other
     columns are left out; an empty table gives no rows.
     """
-    known = vocabulary(words)
-    shared = (F.crc32(F.col("word").cast("binary")) % OTHERS + 1).cast("int").alias("id")
-    total = np.zeros(OTHERS + 1)
-    for i, n in counts.groupBy(shared).agg(F.sum("n")).collect():
-        total[i] = n
-    top = counts.orderBy(F.desc("n"), "word").limit(len(known) + HEAD).collect()
-    for word, n in top[: len(known)]:
-        total[1 + zlib.crc32(word.encode()) % OTHERS] -= n
-    head = top[len(known) :]
-    # By place, after those below zero: the id, and the log of the share.
-    of_head = np.array([1 + zlib.crc32(w.encode()) % OTHERS for w, _ in head], np.int32)
-    log_total = np.log(np.maximum(total, 1))
-    id_at = np.concatenate([np.arange(OTHERS, 0, -1), np.arange(VOCAB), of_head]).astype(np.int32)
-    log_at = np.concatenate([-log_total[OTHERS:0:-1], np.zeros(VOCAB), np.log([n for _, n in head]) - log_total[of_head]])
-    head_words = [w for w, _ in head]
+    return _scored(encoded(docs, model, counts), model)
+
+
+def fit_and_score(docs: DataFrame, **options) -> DataFrame:
+    """:func:`score` of ``docs`` under a model of themselves; texts are encoded once."""
+    counts = written(count_words(docs), "counts")
+    model = vocabulary(counts)
+    texts = encoded(docs, model, counts)
+    return _scored(texts, learned(texts, model, **options))
+
 
+def _scored(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = views(flat)
-        places = Places(vocabulary(words))
-        places.update((w, VOCAB + k) for k, w in enumerate(head_words))
-        for record in batches:
-            n, sums, tails = [], [], []
-            for text in record.column(1):
-                tokens = (text.as_py() or "").split()
-                t = np.fromiter(map(places.__getitem__, tokens), np.int32)
-                n.append(len(t))
-                sums.append(score_ids(p, id_at[t + OTHERS]) + float(log_at[t + OTHERS].sum()))
-                tails.append([tokens[k] for k in np.flatnonzero(t < 0)])
-            yield pa.RecordBatch.from_arrays(
-                [record.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(tails, pa.list_(pa.string()))],
-                ["doc_id", "n_tokens", "pll", "tail"],
-            )
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, pll double, tail array<string>"
-    )
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Words that occur once, or never, have a logarithm of 0.
-    more = (
-        scored.select("row", F.explode("tail").alias("word")).join(counts.where("n > 1"), "word")
-        .groupBy("row").agg(F.sum(F.log("n")).alias("more"))
-    )
-    pll = F.col("pll") + F.coalesce("more", F.lit(0.0))
-    return scored.drop("tail").join(more, "row", "left").select(
-        "doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_pll")
-    )
+        p, tree, rows_of = views(model.flat, model.levels), paths(model.levels), context_rows(model.size, model.shared)
+        for batch in batches:
+            # Texts are scored together, a few thousand places at a time.
+            ids = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in batch.column(2)]
+            sums = np.zeros(len(ids))
+            held, whose, size = [], [], 0
+
+            def flush():
+                ctx, target = np.concatenate([c for c, _ in held], 1), np.concatenate([t for _, t in held])
+                of = np.repeat(whose, [len(t) for _, t in held])
+                np.add.at(sums, np.unique(of), np.add.reduceat(log_probabilities(p, tree, ctx, target).astype(float), np.flatnonzero(np.r_[True, of[1:] != of[:-1]])))
+
+            for k, t in enumerate(ids):
+                rows = rows_of[t]
+                for at in range(0, len(t), 1024):
+                    some = np.arange(at, min(at + 1024, len(t)))
+                    held.append((contexts(rows, some), t[some]))
+                    whose.append(k)
+                    size += len(some)
+                    if size >= 1024:
+                        flush()
+                        held, whose, size = [], [], 0
+            if size:
+                flush()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums + batch.column(3).to_numpy(), pa.float64())], ["doc_id", "n_tokens", "pll"])
+
+    scored = texts.select("doc_id", "n", "ids", "share").mapInArrow(run, "doc_id long, n_tokens long, pll double")
+    return scored.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))

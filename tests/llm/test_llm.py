@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from structjson.llm import embeddings, html, images, jaccard, lm, mixing, packing, quality, urls, warc  # noqa: E402
+from structjson.llm import embeddings, html, images, jaccard, mixing, packing, quality, urls, warc  # noqa: E402
 from structjson.llm.common import components, fresh_path  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tok string"
@@ -145,22 +145,6 @@ def test_quality(spark):
     assert quality.score_quality(d, labels.limit(0)).where("q_keep is null").count() == 0
 
 
-def test_lm_probabilities_and_learning(spark):
-    rng = np.random.default_rng(0)
-    p = lm.views(rng.normal(0, 0.3, lm._SIZE).astype(np.float32))
-    ids = np.array([5, 9, 700, 3, 1000, 2], np.int32)
-    ctx = lm.contexts(ids, np.array([2]))
-    every = np.repeat(ctx, lm.VOCAB, 1)
-    assert abs(np.exp(lm.forward(p, every, np.arange(lm.VOCAB))[0]).sum() - 1) < 1e-3
-    brute = sum(float(lm.forward(p, lm.contexts(ids, np.array([i])), ids[i : i + 1])[0][0]) for i in range(len(ids)))
-    assert abs(lm.score_ids(p, ids, chunk=4) - brute) < 1e-3
-    text = "the cat sat on a mat and then "
-    d = docs(spark, [(i, text * 60) for i in range(20)] + [(50, None), (51, " "), (52, " ".join(random.Random(1).sample((text * 60).split(), 480)))])
-    got = {r.doc_id: r for r in lm.score(d, *lm.fit(d, stride=2, batch=64)).collect()}
-    assert got[0].n_tokens == 480 and got[0].mean_pll > got[52].mean_pll + 0.5
-    assert got[50].pll == got[51].pll == 0 and got[50].mean_pll is None
-
-
 def _linked(sets, least):
     root = {i: i for i in sets}
     for a in sorted(sets):
@@ -270,33 +254,3 @@ def test_equal_images_are_copies(spark):
     rows = [(1, 9, 9, small), (2, 9, 9, small), (3, 3, 27, small)]
     got = {r.image_id: r.component_id for r in images.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
-
-
-def test_lm_trains_on_every_token(spark, monkeypatch):
-    seen = spark.sparkContext.accumulator(0)
-    real = lm.train
-
-    def counted(flat, batches, rate=0.1):
-        out = real(flat, batches, rate)
-        seen.add(out[1])
-        return out
-
-    monkeypatch.setattr(lm, "train", counted)
-    texts = ["one", "two words", "three words here", " ".join(map(str, range(1000)))]
-    d = docs(spark, list(enumerate(texts)))
-    lm.fit(d)
-    assert seen.value == sum(len(t.split()) for t in texts)
-
-
-@pytest.mark.parametrize("head", [0, 1, 1000])
-def test_lm_tells_words_of_one_bucket_apart(spark, monkeypatch, head):
-    monkeypatch.setattr(lm, "HEAD", head)
-    bucket = lambda w: zlib.crc32(w.encode()) % lm.OTHERS
-    once = next(f"x{i}" for i in range(10**5) if bucket(f"x{i}") == bucket("rare"))
-    common = [f"w{i}" for i in range(lm.VOCAB - lm.OTHERS - 1)]
-    d = docs(spark, [(1, " ".join(common * 5)), (2, f"rare rare rare {once}")])
-    flat, words, counts = lm.fit(d)
-    ids = np.array([1 + bucket("rare")], np.int32)
-    alone = lm.score_ids(lm.views(flat), ids)
-    got = {r.doc_id: r.pll for r in lm.score(docs(spark, [(1, "rare"), (2, once)]), flat, words, counts).collect()}
-    assert abs(got[1] - alone - np.log(3 / 4)) < 1e-4 and abs(got[2] - alone - np.log(1 / 4)) < 1e-4
