@@ -34,7 +34,7 @@ _YX = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RA
 _DISC = _YX[(_YX**2).sum(1) <= RADIUS**2]
 FEATURES = "image_id long, places array<float>, bits binary, digest binary"
 #: Images of a block; each pair of blocks is compared by one task.
-BLOCK = 16384
+BLOCK = 8192
 
 
 def _blur(x: np.ndarray, times: int = 1) -> np.ndarray:
@@ -153,35 +153,36 @@ def image_features(images: DataFrame, corners: int = CORNERS) -> DataFrame:
     return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels").mapInArrow(run, FEATURES)
 
 
-def _slots(places: list[np.ndarray], bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all images: the slot, the image, and the corner and its neighbour that are in it."""
+def _neighbours(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all images: the image, a corner, a neighbour of it, and how the two lie to each other."""
     out: list[tuple] = []
-    weights = 1 << np.arange(SLICE)
-    for image, (at, d) in enumerate(zip(places, bits)):
-        if len(d) < 2:
+    turn = lambda x: np.floor(x % (2 * np.pi) / (2 * np.pi) * 8).astype(np.int64) & 7
+    for image, at in enumerate(places):
+        if len(at) < 2:
             continue
         p = at[:, 0] + 1j * at[:, 1]
         gap = np.abs(p[:, None] - p[None])
         gap[gap < 4] = np.inf
         near = np.argsort(gap, 1, kind="stable")[:, :NEIGHBOURS]
-        a, b = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
+        a, b = np.repeat(np.arange(len(at)), near.shape[1]), near.ravel()
         known = np.isfinite(gap[a, b])
         a, b = a[known], b[known]
         # Where the neighbour lies, seen from the corner's own direction, size and scale.
-        turn = lambda x: np.floor(x % (2 * np.pi) / (2 * np.pi) * 8).astype(np.int64) & 7
         lies = turn(np.angle(p[b] - p[a]) - at[a, 3]) * 8 + turn(at[b, 3] - at[a, 3])
         lies = lies * 16 + np.rint(2 * np.log2(at[b, 2] / at[a, 2])).astype(np.int64) + 4
         lies = lies * 64 + np.floor(2 * np.log2(gap[a, b] * at[a, 2] / 4)).astype(np.int64) + 8
-        ones = np.unpackbits(d, axis=1).astype(np.int64)
-        for k in range(SLICES):
-            piece = ones[:, k * SLICE : (k + 1) * SLICE] @ weights
-            slot = (((lies * SLICES + k) << SLICE | piece[a]) << SLICE) | piece[b]
-            out.append((slot, np.full(len(a), image), a, b))
+        out.append((np.full(len(a), image, np.int32), a.astype(np.int16), b.astype(np.int16), lies.astype(np.int32)))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, t) for t in (np.int32, np.int16, np.int16, np.int32))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _pieces(words: np.ndarray, k: int) -> np.ndarray:
+    """Slice ``k`` of all descriptors ``(images, corners, 2)``, as numbers."""
+    ones = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=2)[:, :, k * SLICE : (k + 1) * SLICE]
+    return ones.astype(np.int32) @ (1 << np.arange(SLICE, dtype=np.int32))
+
+
 def _padded(bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Descriptors as words ``(images, corners, 2)``, and 255 at the corners that an image lacks."""
     words = np.zeros((len(bits), max(map(len, bits)), BITS // 64), np.uint64)
@@ -212,15 +213,16 @@ def _explained(p: np.ndarray, q: np.ndarray, pixels: float = 2.5) -> np.ndarray:
     return np.where(sane, near.sum(2), 0).max(1)
 
 
-def _meetings(slots: tuple, group: np.ndarray, side: np.ndarray | None, words: np.ndarray, near: int, star: bool) -> Iterator[np.ndarray]:
-    """Pairs ``x, y`` of images of different groups (and sides) that meet in a slot, as ``x * images + y``, x below y.
+def _meetings(lying: tuple, piece: np.ndarray, group: np.ndarray, side: np.ndarray | None, words: np.ndarray, near: int, star: bool) -> Iterator[np.ndarray]:
+    """Pairs ``x, y`` of images of different groups (and sides) that meet in a slot of one slice, as ``x * images + y``, x below y.
 
     Both corners and neighbours must be within ``near`` bits. ``star`` pairs each row
     with the first of its slot on the other side only; otherwise all rows of a slot
     meet those of other groups, in pieces of a few million.
     """
-    slot, who, a, b = slots
-    order = np.lexsort((who, group[who], slot))
+    who, a, b, lies = lying
+    slot = (lies.astype(np.int64) << SLICE | piece[who, a]) << SLICE | piece[who, b]
+    order = np.argsort(slot * len(group) + group[who], kind="stable")
     slot, who, a, b = slot[order], who[order], a[order], b[order]
     start = np.r_[True, slot[1:] != slot[:-1]]
     low = np.flatnonzero(start)[np.cumsum(start) - 1] if len(slot) else slot
@@ -262,7 +264,7 @@ def _meetings(slots: tuple, group: np.ndarray, side: np.ndarray | None, words: n
             d = sum(np.bitwise_count(words[x, c[i], k] ^ words[y, c[j], k]).astype(np.int16) for k in range(words.shape[2]))
             i, j = i[d <= near], j[d <= near]
         x, y = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
-        yield np.unique(x * len(words) + y)
+        yield np.unique(x.astype(np.int64) * len(words) + y)
 
 
 def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
@@ -272,15 +274,17 @@ def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched:
     side = None if second is None else np.repeat([0, 1], [len(first), len(second)])
     words, lacks = _padded([x[2] for x in images])
     points = _points([x[1] for x in images], words.shape[1])
-    slots = _slots([x[1] for x in images], [x[2] for x in images])
+    lying = _neighbours([x[1] for x in images])
     least = np.clip([len(x[2]) for x in images], 4, matched)
     root = np.arange(size)
     batch = max(1, (1 << 20) // words.shape[1] ** 2)
     tried = np.zeros(0, np.int64)
-    for star in (True, False):  # first what joins large groups of copies, then every meeting that is left
-        seen = []
-        for codes in _meetings(slots, root.copy(), side, words, near, star):
+    # First what joins large groups of copies, then every meeting that is left; slice by slice, which bounds memory.
+    for star, k in [(star, k) for star in (True, False) for k in range(SLICES)]:
+        seen = [tried]
+        for codes in _meetings(lying, _pieces(words, k), root.copy(), side, words, near, star):
             codes = codes[np.searchsorted(tried, codes, "right") == np.searchsorted(tried, codes, "left")]
+            seen.append(codes)
             for at in range(0, len(codes), batch):
                 u, v = np.divmod(codes[at : at + batch], size)
                 new = root[u] != root[v]
@@ -288,25 +292,23 @@ def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched:
                 if not len(u):
                     continue
                 d = np.bitwise_count(words[u][:, :, None, 0] ^ words[v][:, None, :, 0])
-                for k in range(1, BITS // 64):
-                    d += np.bitwise_count(words[u][:, :, None, k] ^ words[v][:, None, :, k])
+                for w in range(1, BITS // 64):
+                    d += np.bitwise_count(words[u][:, :, None, w] ^ words[v][:, None, :, w])
                 d |= lacks[u][:, :, None] | lacks[v][:, None, :]
                 j_of, i_of = d.argmin(2), d.argmin(1)
                 good = (np.take_along_axis(i_of, j_of, 1) == np.arange(d.shape[1])) & (np.take_along_axis(d, j_of[:, :, None], 2)[:, :, 0] <= hamming)
                 n = good.sum(1)
                 need = np.minimum(least[u], least[v])
-                for k in np.unique(n[n >= need]).tolist():
-                    of = np.flatnonzero((n == k) & (n >= need))
-                    i = np.nonzero(good[of])[1].reshape(-1, k)
+                for count in np.unique(n[n >= need]).tolist():
+                    of = np.flatnonzero((n == count) & (n >= need))
+                    i = np.nonzero(good[of])[1].reshape(-1, count)
                     inside = _explained(points[u[of][:, None], i], points[v[of][:, None], np.take_along_axis(j_of[of], i, 1)])
-                    for m in of[(inside >= need[of]) & (inside >= explained * k)].tolist():
+                    for m in of[(inside >= need[of]) & (inside >= explained * count)].tolist():
                         x, y = int(u[m]), int(v[m])
                         if root[x] != root[y]:
                             root[root == root[y]] = root[x]
                             yield images[x][0], images[y][0]
-            if star:
-                seen.append(codes)
-        tried = np.unique(np.concatenate([tried, *seen]))
+        tried = np.unique(np.concatenate(seen))
 
 
 def _block_copies(near: int, matched: int, explained: float):

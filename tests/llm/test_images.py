@@ -45,16 +45,22 @@ def test_slots_meet_like_brute_force(cut):
     bits = rng.integers(0, 256, (n, c, 16), dtype=np.uint8)
     bits[6:] = bits[:6] ^ (rng.random((6, c, 16)) < 0.1).astype(np.uint8)
     places = [np.c_[rng.uniform(0, 60, (c, 2)), np.ones(c), rng.uniform(-3, 3, c)].astype(np.float32) for _ in range(6)] * 2
-    slots = images._slots(places, list(bits))
+    lying = images._neighbours(places)
     words, _ = images._padded(list(bits))
     side = None if cut is None else (np.arange(n) >= cut).astype(int)
     group = np.arange(n) // 2
-    got = {divmod(int(k), n) for codes in images._meetings(slots, group, side, words, 12, False) for k in codes}
+    got = {
+        divmod(int(c), n) for k in range(images.SLICES)
+        for codes in images._meetings(lying, images._pieces(words, k), group, side, words, 12, False) for c in codes
+    }
     near = lambda x, y, p, q: np.bitwise_count(bits[x, p] ^ bits[y, q]).sum() <= 12
-    rows = list(zip(*(s.tolist() for s in slots)))
+    flat = np.unpackbits(bits, axis=2)
+    cut = lambda x, p, k: tuple(flat[x, p, k * images.SLICE : (k + 1) * images.SLICE])
+    rows = [(x, p, r, lies, [(cut(x, p, k), cut(x, r, k)) for k in range(images.SLICES)]) for x, p, r, lies in zip(*(c.tolist() for c in lying))]
     want = {
-        (x, y) for s, x, p, r in rows for t, y, q, u in rows
-        if s == t and x < y and group[x] != group[y] and (side is None or side[x] != side[y]) and near(x, y, p, q) and near(x, y, r, u)
+        (x, y) for x, p, r, s, one in rows for y, q, u, t, two in rows
+        if s == t and x < y and any(i == j for i, j in zip(one, two))
+        and group[x] != group[y] and (side is None or side[x] != side[y]) and near(x, y, p, q) and near(x, y, r, u)
     }
     assert got == want and want
 
