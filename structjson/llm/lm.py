@@ -30,10 +30,10 @@ from .common import drop_written, written
 WINDOW = 2
 SIDE = 16
 #: Levels of the tree: as many as the frequent words need, within these.
-LEVELS = (2, 4)
+LEVELS = (2, 3)
 #: A word that occurs less often shares an id with others, by hash.
 FREQUENT = 20
-HIDDEN = 24
+HIDDEN = 16
 #: Words with a row of their own as a context; others share the same number of rows by hash.
 CONTEXTS = 2048
 PAD = 0
@@ -108,7 +108,7 @@ def paths(levels: int) -> tuple[np.ndarray, np.ndarray]:
         nodes.append(at + ids // SIDE ** (levels - k))
         ways.append(ids // SIDE ** (levels - k - 1) % SIDE)
         at += SIDE**k
-    return np.array(nodes, np.int32), np.array(ways, np.int32)
+    return np.array(nodes), np.array(ways)
 
 
 class Ids(dict):
@@ -129,14 +129,29 @@ def context_rows(size: int, shared: int) -> np.ndarray:
     own = (rank >= 0) & (rank < CONTEXTS - 1)
     rows = np.where(own, 1 + rank, CONTEXTS + (ids * 40503 >> 4) % CONTEXTS)
     rows[PAD] = 0
-    return rows.astype(np.int32)
+    return rows
+
+
+_SHIFTS = [k for k in range(-WINDOW, WINDOW + 1) if k]
+_END = b"\0\0" * WINDOW
 
 
 def contexts(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context rows of the neighbours of each place in a text of context rows, by place of the window."""
-    padded = np.concatenate([np.zeros(WINDOW, rows.dtype), rows, np.zeros(WINDOW, rows.dtype)])
-    shifts = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
-    return np.stack([padded[at + k] + 2 * CONTEXTS * i for i, k in enumerate(shifts)])
+    """Context rows of the neighbours of the places ``at``, by place of the window; ``rows`` has padding around texts."""
+    return np.stack([rows.take(at + k) + 2 * CONTEXTS * i for i, k in enumerate(_SHIFTS)])
+
+
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all texts with padding around each, and by id its text and its place in it.
+
+    Each of ``texts`` ends with its padding.
+    """
+    sizes = np.array([len(x.as_buffer()) // 2 for x in texts], np.int64)
+    ids = np.frombuffer(b"".join([_END, *(x.as_py() for x in texts)]), np.uint16).astype(np.int64)
+    start = WINDOW + np.cumsum(sizes) - sizes
+    whose = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(WINDOW, len(ids)) - np.repeat(start, sizes)
+    return ids, np.concatenate([np.zeros(WINDOW, np.int64), whose]), np.concatenate([np.zeros(WINDOW, np.int64), place])
 
 
 def _hidden(p: dict, ctx: np.ndarray) -> np.ndarray:
@@ -203,9 +218,14 @@ def train(flat: np.ndarray, levels: int, batches: Iterator[tuple[np.ndarray, np.
         back = np.matmul(z, p["w"].transpose(0, 2, 1))
         dh = np.einsum("knh,knh->nh", back, of[:, :, :HIDDEN])
         back *= h
-        at, g = _add_up(node.ravel(), np.concatenate([back, z], 2).reshape(-1, HIDDEN + SIDE))
+        both = np.concatenate([back, z], 2)
         step("w", np.matmul(gated.transpose(0, 2, 1), z))
-        step("nodes", g, at)
+        step("nodes", both[0].sum(0, keepdims=True), slice(0, 1))
+        member = (node[1] == np.arange(1, 1 + SIDE)[:, None]).astype(np.float32)
+        step("nodes", member @ both[1], slice(1, 1 + SIDE))
+        if levels > 2:
+            at, g = _add_up(node[2:].ravel(), both[2:].reshape(-1, HIDDEN + SIDE))
+            step("nodes", g, at)
         dh *= 1 - h * h
         step("b", dh.sum(0))
         at, g = _add_up(ctx.ravel(), dh)
@@ -214,14 +234,21 @@ def train(flat: np.ndarray, levels: int, batches: Iterator[tuple[np.ndarray, np.
     return flat, seen
 
 
-def score_ids(model: Model, ids: np.ndarray, chunk: int = 2048) -> float:
-    """Summed log probability of every id given both of its sides."""
-    p, tree, total = views(model.flat, model.levels), paths(model.levels), 0.0
-    rows = context_rows(model.size, model.shared)[ids]
-    for at in range(0, len(ids), chunk):
-        some = np.arange(at, min(at + chunk, len(ids)))
-        total += float(log_probabilities(p, tree, contexts(rows, some), ids[some]).sum(dtype=np.float64))
-    return total
+def score_ids(model: Model, ids: np.ndarray, chunk: int = 1024) -> float:
+    """Summed log probability of every id of a text given both of its sides."""
+    texts = pa.array([np.asarray(ids, np.uint16).tobytes() + _END], pa.binary())
+    return float(_sums(model, paths(model.levels), context_rows(model.size, model.shared), texts, chunk)[0])
+
+
+def _sums(model: Model, tree: tuple, rows_of: np.ndarray, texts: pa.Array, chunk: int = 1024) -> np.ndarray:
+    """The summed log probability of each text's ids."""
+    p, out = views(model.flat, model.levels), np.zeros(len(texts))
+    ids, whose, _ = laid_out(texts)
+    rows, places = rows_of.take(ids), np.flatnonzero(ids)
+    for at in range(0, len(places), chunk):
+        some = places[at : at + chunk]
+        out += np.bincount(whose.take(some), log_probabilities(p, tree, contexts(rows, some), ids.take(some)), len(out))
+    return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -244,6 +271,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _least_count(counts: DataFrame, words: int) -> int:
+    """The least count at which there are no more than ``words`` words, to a sixteenth of a doubling."""
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    left, least = words, 2**62
+    for r in sorted(counts.groupBy(step).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect(), reverse=True):  # a row for each step
+        if r.k > left:
+            break
+        left, least = left - r.k, r.least
+    return least
+
+
 def vocabulary(counts: DataFrame, most_levels: int = LEVELS[1]) -> Model:
     """A model without parameters: the words with ids of their own, and the counts of ids."""
     frequent = counts.where(F.col("n") >= FREQUENT).count()
@@ -252,8 +290,9 @@ def vocabulary(counts: DataFrame, most_levels: int = LEVELS[1]) -> Model:
         levels += 1
     shared = shared_ids(levels)
     own = SIDE**levels - shared - 1
-    top = counts.orderBy(F.desc("n"), "word").limit(own + HEAD).collect()
-    words, head = [r[0] for r in top[:own]], [(r[0], r[1]) for r in top[own:]]
+    found = counts.where(F.col("n") >= _least_count(counts, own + HEAD)).select("word", "n").toArrow()
+    top = sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    words, head = [w for w, _ in top[:own]], top[own:]
     total = np.zeros(shared + 1)
     bucket = (F.crc32(F.col("word").cast("binary")) % shared + 1).cast("int").alias("id")
     for i, n in counts.groupBy(bucket).agg(F.sum("n")).collect():  # a row for each shared id
@@ -262,14 +301,14 @@ def vocabulary(counts: DataFrame, most_levels: int = LEVELS[1]) -> Model:
         total[1 + zlib.crc32(word.encode()) % shared] -= n
     frequency = np.full(SIDE**levels, 0.01)
     frequency[: shared + 1] += total
-    frequency[shared + 1 : shared + 1 + len(words)] += [r[1] for r in top[:own]]
+    frequency[shared + 1 : shared + 1 + len(words)] += [n for _, n in top[:own]]
     return Model(levels, words, head, total, start(levels, frequency))
 
 
 def encoded(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``row, doc_id, n, ids, share`` of every row of ``docs``, as a written table.
 
-    ``ids`` are unsigned 16-bit; ``share`` sums the logs of words' shares of the ids
+    ``ids`` are unsigned 16-bit and end with padding; ``share`` sums the logs of words' shares of the ids
     that they have in common with others, by their counts in the corpus, one at least.
     """
     levels, words, head_words = model.levels, model.words, [w for w, _ in model.head]
@@ -293,7 +332,7 @@ def encoded(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     tokens = (text.as_py() or "").split()
                     t = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens)) + shared
                     n.append(len(t))
-                    ids.append(id_at[t].tobytes())
+                    ids.append(id_at[t].tobytes() + _END)
                     share.append(float(log_at[t].sum()))
                     tails.append([tokens[k] for k in np.flatnonzero(t < shared)])
                 yield pa.RecordBatch.from_arrays(
@@ -328,7 +367,7 @@ class _Places(dict):
         return n
 
 
-def learned(texts: DataFrame, model: Model, stride: int = 2, batch: int = 1024) -> Model:
+def learned(texts: DataFrame, model: Model, stride: int = 2, batch: int = 2048) -> Model:
     """``model`` with parameters trained on ``texts(ids)``: every token is a target once.
 
     Round ``k`` of ``stride`` trains on the places ``k, k + stride, ...`` of every text
@@ -341,21 +380,13 @@ def learned(texts: DataFrame, model: Model, stride: int = 2, batch: int = 1024)
 
         def run(batches: Iterator[pa.RecordBatch], flat=flat, k=k) -> Iterator[pa.RecordBatch]:
             def windows():
-                held, size = [], 0
                 for record in batches:
-                    for ids in record.column(0):
-                        t = np.frombuffer(ids.as_py(), np.uint16).astype(np.int64)
-                        rows = rows_of[t]
-                        places = np.arange(k % stride, len(t), stride)
+                    for first in range(0, record.num_rows, 1000):
+                        ids, _, place = laid_out(record.column(0).slice(first, 1000))
+                        rows, places = rows_of.take(ids), np.flatnonzero((ids > 0) & (place % stride == k))
                         for at in range(0, len(places), batch):
                             some = places[at : at + batch]
-                            held.append((contexts(rows, some), t[some]))
-                            size += len(some)
-                            if size >= batch:
-                                yield np.concatenate([c for c, _ in held], 1), np.concatenate([y for _, y in held])
-                                held, size = [], 0
-                if size:
-                    yield np.concatenate([c for c, _ in held], 1), np.concatenate([y for _, y in held])
+                            yield contexts(rows, some), ids.take(some)
 
             new, seen = train(flat, levels, windows())
             if seen:
@@ -411,31 +442,12 @@ def fit_and_score(docs: DataFrame, **options) -> DataFrame:
 
 def _scored(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, tree, rows_of = views(model.flat, model.levels), paths(model.levels), context_rows(model.size, model.shared)
+        tree, rows_of = paths(model.levels), context_rows(model.size, model.shared)
         for batch in batches:
-            # Texts are scored together, a few thousand places at a time.
-            ids = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in batch.column(2)]
-            sums = np.zeros(len(ids))
-            held, whose, size = [], [], 0
-
-            def flush():
-                ctx, target = np.concatenate([c for c, _ in held], 1), np.concatenate([t for _, t in held])
-                of = np.repeat(whose, [len(t) for _, t in held])
-                np.add.at(sums, np.unique(of), np.add.reduceat(log_probabilities(p, tree, ctx, target).astype(float), np.flatnonzero(np.r_[True, of[1:] != of[:-1]])))
-
-            for k, t in enumerate(ids):
-                rows = rows_of[t]
-                for at in range(0, len(t), 1024):
-                    some = np.arange(at, min(at + 1024, len(t)))
-                    held.append((contexts(rows, some), t[some]))
-                    whose.append(k)
-                    size += len(some)
-                    if size >= 1024:
-                        flush()
-                        held, whose, size = [], [], 0
-            if size:
-                flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums + batch.column(3).to_numpy(), pa.float64())], ["doc_id", "n_tokens", "pll"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                pll = _sums(model, tree, rows_of, part.column(2)) + part.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pll, pa.float64())], ["doc_id", "n_tokens", "pll"])
 
     scored = texts.select("doc_id", "n", "ids", "share").mapInArrow(run, "doc_id long, n_tokens long, pll double")
     return scored.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))

@@ -27,11 +27,12 @@ def test_probabilities_add_up_to_one(levels):
     size, flat = lm.SIDE**levels, _random(levels)
     rows = lm.context_rows(size, lm.shared_ids(levels))
     ids = np.array([5, 9, size - 1, 3, 100, 2])
-    ctx = np.repeat(lm.contexts(rows[ids], np.array([2])), size, 1)
+    padded = np.concatenate([[0, 0], rows[ids], [0, 0]])
+    ctx = np.repeat(lm.contexts(padded, np.array([4])), size, 1)
     every = lm.log_probabilities(lm.views(flat, levels), lm.paths(levels), ctx, np.arange(size))
     assert abs(np.exp(every).sum() - 1) < 1e-3
     model = lm.Model(levels, [], [], np.zeros(1), flat)
-    one = lambda i: lm.log_probabilities(lm.views(flat, levels), lm.paths(levels), lm.contexts(rows[ids], np.array([i])), ids[i : i + 1])[0]
+    one = lambda i: lm.log_probabilities(lm.views(flat, levels), lm.paths(levels), lm.contexts(padded, np.array([i + 2])), ids[i : i + 1])[0]
     assert abs(lm.score_ids(model, ids, chunk=4) - sum(float(one(i)) for i in range(len(ids)))) < 1e-3
 
 
@@ -49,7 +50,7 @@ def test_a_step_follows_the_gradient():
     flat = _random(levels)
     rows = lm.context_rows(lm.SIDE**levels, lm.shared_ids(levels))
     ids = rng.integers(1, lm.SIDE**levels, n)
-    ctx, target = lm.contexts(rows[ids], np.arange(n)), ids
+    ctx, target = lm.contexts(np.concatenate([[0, 0], rows[ids], [0, 0]]), 2 + np.arange(n)), ids
     new, seen = lm.train(flat, levels, iter([(ctx, target)]), rate=0.1)
     assert seen == n
     moved = np.flatnonzero(new != flat)
@@ -117,5 +118,8 @@ def test_words_of_one_id_are_told_apart(spark, monkeypatch, head):
 def test_vocabulary_grows_with_the_corpus(spark):
     words = spark.range(6000).selectExpr("concat('w', id) as word", "25 + id as n")
     model = lm.vocabulary(words)
-    assert model.levels == 4 and len(model.words) == 6000 and model.shared_total.sum() == 0
+    assert model.levels == 3 and len(model.words) == 4096 - 256
+    assert model.words[0] == "w5999" and len(model.head) == 6000 - len(model.words)
+    assert model.shared_total.sum() == sum(n for _, n in model.head)
     assert lm.vocabulary(words.limit(100)).levels == 2
+    assert lm._least_count(words, 10**9) == 25 and 25 < lm._least_count(words, 3000) < 6025
