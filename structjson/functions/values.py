@@ -70,4 +70,5 @@ def slice_bytes(json: Column, start: Column, end: Column) -> Column:
 
 def multi_key_pattern(keys: list[str]) -> str:
     """One expression that finds any of ``"key":``, case-sensitively, without an index."""
-    return "|".join(rf'\Q"{k}":\E' for k in dict.fromkeys(keys))
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", f'"{k}":') for k in dict.fromkeys(keys)]
+    return "|".join(quoted) or "(?!)"  # no keys match nowhere

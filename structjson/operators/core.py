@@ -85,11 +85,21 @@ def _ranges(tokens: DataFrame, roots: DataFrame, compat: bool) -> DataFrame:
 
 
 def descendants(tokens: DataFrame, roots: DataFrame, compat: bool = False) -> DataFrame:
-    """The tokens of the subtrees of ``roots``, roots and closes included, each once."""
-    r = _ranges(tokens, roots, compat).alias("r")
-    t = tokens.select(*ORDER).alias("t")
-    inside = (F.col("t.doc_id") == F.col("r.doc_id")) & F.col("t.tok").between(F.col("r.root"), F.col("r.last"))
-    return t.join(r, inside, "left_semi")
+    """The tokens of the subtrees of ``roots``, roots and closes included, each once.
+
+    One pass over each document in token order: a token is inside if some root at or
+    before it ends at or after it.
+    """
+    t = tokens.select(*ORDER, "close_of", F.lit(0).alias("root"))
+    marked = t.union(roots.select(*ORDER, F.lit(None).cast("int").alias("close_of"), F.lit(1).alias("root"))).repartition("doc_id")
+    here = Window.partitionBy("doc_id", "tok")
+    upto = Window.partitionBy("doc_id").orderBy("tok").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.lit(2**31 - 1) if compat else F.col("tok")
+    last = F.when(F.col("chosen") == 1, F.coalesce(F.col("held"), own))
+    return (
+        marked.withColumns({"chosen": F.max("root").over(here), "held": F.max("close_of").over(here)})
+        .withColumn("until", F.max(last).over(upto)).where("root = 0 and until >= tok").select(*ORDER)
+    )
 
 
 def keys_named_in(tokens: DataFrame, name: str, roots: DataFrame, compat: bool = False) -> DataFrame:
@@ -149,30 +159,33 @@ def find_eq_compound(tokens: DataFrame, conds: list[tuple[str, str]]) -> DataFra
 
 # Byte positions and ancestry.
 
-def token_at(tokens: DataFrame, probes: DataFrame) -> DataFrame:
-    """``doc_id, pos, tok``: the last token that starts at or before each probe, null before the first.
+def _as_of(tokens: DataFrame, probes: DataFrame, found: Column) -> DataFrame:
+    """``doc_id, pos, tok``: ``found`` of the last token that starts at or before each probe, null before the first.
 
     An as-of join in one sort: probes and tokens of a document share a window.
     """
-    t = tokens.select("doc_id", F.col("start").alias("pos"), F.lit(0).alias("probe"), "tok")
-    p = probes.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("probe"), F.lit(None).cast("int").alias("tok"))
+    t = tokens.select("doc_id", F.col("start").alias("pos"), F.lit(0).alias("probe"), F.struct(found.cast("int").alias("tok")).alias("at"))
+    p = probes.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("probe"), F.lit(None).cast("struct<tok:int>").alias("at"))
     w = Window.partitionBy("doc_id").orderBy("pos", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.union(p).withColumn("tok", F.last("tok", True).over(w)).where("probe = 1").select("doc_id", "pos", "tok")
+    return t.union(p).withColumn("at", F.last("at", True).over(w)).where("probe = 1").select("doc_id", "pos", F.col("at.tok").alias("tok"))
+
+
+def token_at(tokens: DataFrame, probes: DataFrame) -> DataFrame:
+    """``doc_id, pos, tok``: the last token that starts at or before each probe, null before the first."""
+    return _as_of(tokens, probes, F.col("tok"))
 
 
 def container_at_byte(tokens: DataFrame, probes: DataFrame) -> DataFrame:
-    """``doc_id, pos, tok``: the innermost container around each probe. On a closing bracket it is the outer one."""
-    ends = tokens.select("doc_id", F.col("tok").alias("close_of"), F.col("start").alias("until"))
-    c = tokens.where("close_of is not null").select("doc_id", "tok", "start", "close_of").join(ends, ["doc_id", "close_of"]).alias("c")
-    p = probes.select("doc_id", F.col("pos").cast("long").alias("pos")).alias("p")
-    inside = (F.col("p.doc_id") == F.col("c.doc_id")) & (F.col("c.start") <= F.col("p.pos")) & (F.col("p.pos") < F.col("c.until"))
-    return p.join(c, inside, "left").groupBy("p.doc_id", "p.pos").agg(F.max("c.tok").alias("tok"))
+    """``doc_id, pos, tok``: the innermost container around each probe. On a closing bracket it is the outer one.
+
+    That is the last token at or before the probe if it opens one, else its parent.
+    """
+    return _as_of(tokens, probes, F.when(F.col("close_of").isNotNull(), F.col("tok")).otherwise(F.col("parent"))).distinct()
 
 
 def value_token_at(tokens: DataFrame, probes: DataFrame) -> DataFrame:
     """``doc_id, pos, tok`` where the token at a probe is a string or scalar, else null."""
-    leaf = tokens.where("raw_kind in ('Quote', 'Scalar')").select("doc_id", "tok", F.col("tok").alias("leaf"))
-    return token_at(tokens, probes).join(leaf, ORDER, "left").select("doc_id", "pos", F.col("leaf").alias("tok"))
+    return _as_of(tokens, probes, F.when(F.col("raw_kind").isin("Quote", "Scalar"), F.col("tok")))
 
 
 def ancestors(tokens: DataFrame, anchors: DataFrame) -> DataFrame:

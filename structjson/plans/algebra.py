@@ -261,7 +261,11 @@ class OpPlan:
                 return OpPlan(tuple(ops))
 
     def run(self, tokens: DataFrame) -> DataFrame:
-        """The final state ``(doc_id, tok)``."""
+        """The final state ``(doc_id, tok)`` of the optimised plan.
+
+        Steps read ``tokens`` again; give a stored table (``sources.index.stored_index``)
+        where there are several.
+        """
 
         def step(state: DataFrame | None, op: Op) -> DataFrame:
             if op.card is not CardClass.CONSTANT:
@@ -269,7 +273,7 @@ class OpPlan:
             found = op.apply(tokens, state)
             return found if state is None else state.join(found, ORDER, "left_semi")
 
-        out = reduce(step, self.ops, None)
+        out = reduce(step, self.optimize().ops, None)
         return tokens.select(*ORDER) if out is None else out
 
 

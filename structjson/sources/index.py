@@ -1,25 +1,48 @@
-"""Building, storing and reading token tables."""
+"""Building, storing and reading token tables.
+
+Whole batches of documents are scanned at once; what a query does not need is not
+made (``columns``). A table that several steps of a query read is stored once
+(:func:`stored_index`), so the text is scanned once.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import TOKENS, BuildOptions, ParseError
 from .scanner import scan
+from .vectors import scan_many
 
-#: Token rows of one batch on their way out of a worker.
-BATCH = 50_000
+#: Bytes of text, one document at least, that are scanned together.
+CHUNK = 1 << 20
 
 
 def _scanned(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(json_col).cast("binary").alias("json"))
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Documents of a batch, with their ids, some ``CHUNK`` bytes at a time."""
+    ids, docs, held = [], [], 0
+    for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids.append(doc_id)
+        docs.append(data.as_py() or b"")
+        held += len(docs[-1])
+        if held >= CHUNK:
+            yield ids, docs
+            ids, docs, held = [], [], 0
+    if docs:
+        yield ids, docs
+
+
 def index_json(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -27,6 +50,7 @@ def index_json(
     options: BuildOptions | None = None,
     only_keys: list[str] | None = None,
     mode: str = "PERMISSIVE",
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """The token table of ``df``, scanned batch by batch without a shuffle.
 
@@ -34,7 +58,8 @@ def index_json(
     ``mode="FAILFAST"`` raises instead. Null text has no tokens. ``only_keys`` skips
     documents that can hold none of these keys before they are scanned, and returns
     those keys' tokens only: enough for equality, counts and presence of the keys.
-    Works on streaming frames too.
+    ``columns`` names the columns to make beside ``doc_id`` and ``tok``; all are made
+    without it. Works on streaming frames too.
     """
     o = options or BuildOptions()
     docs = _scanned(df, id_col, json_col)
@@ -45,36 +70,33 @@ def index_json(
         for k in only_keys:
             may = may | F.contains(text, F.lit(f'"{k}"'))
         docs = docs.where(may)
-    schema = to_arrow_schema(TOKENS)
-    wanted = None if only_keys is None else set(only_keys)
+    made = TOKENS.names if columns is None else [c for c in TOKENS.names if c in ("doc_id", "tok", *columns)]
+    shape = T.StructType([TOKENS[c] for c in made])
+    schema = to_arrow_schema(shape)
+    wanted = None if only_keys is None else list(only_keys)
+    places = [TOKENS.names.index(c) - 1 for c in made[1:]]  # in what the scalar scanner gives
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in schema]
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema)], schema=schema)
-            held = [[] for _ in schema]
-            return out
-
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                cols, error = scan(data.as_py() or b"", o.keys, o.container_text)
-                if error:
-                    if mode == "FAILFAST":
-                        raise ParseError(f"document {doc_id}: {error}")
-                    continue
-                if wanted is not None:
-                    at = [i for i, k in enumerate(cols[11]) if k in wanted]
-                    cols = [[c[i] for i in at] for c in cols]
-                held[0] += [doc_id] * len(cols[0])
-                for h, c in zip(held[1:], cols):
-                    h += c
-                if len(held[0]) >= BATCH:
-                    yield flush()
-        yield flush()
-
-    return docs.mapInArrow(run, TOKENS)
+            for ids, texts in _chunks(batch):
+                doc, cols, rest = scan_many(texts, set(made[1:]), o.keys, o.container_text, wanted)
+                numbers = pa.array(ids, pa.int64()).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([numbers, *(cols[c] for c in made[1:])], schema=schema)
+                held: list[list] = [[] for _ in made]
+                for i in rest.tolist():
+                    found, error = scan(texts[i], o.keys, o.container_text)
+                    if error:
+                        if mode == "FAILFAST":
+                            raise ParseError(f"document {ids[i]}: {error}")
+                        continue
+                    at = range(len(found[0])) if wanted is None else [k for k, name in enumerate(found[11]) if name in wanted]
+                    held[0] += [ids[i]] * len(at)
+                    for h, c in zip(held[1:], places):
+                        h += [found[c][k] for k in at]
+                if held[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema)], schema=schema)
+
+    return docs.mapInArrow(run, shape)
 
 
 def index_errors(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
@@ -88,6 +110,23 @@ def index_errors(df: DataFrame, id_col: str = "doc_id", json_col: str = "json")
     return _scanned(df, id_col, json_col).mapInArrow(run, "doc_id long, error string")
 
 
+def stored_index(tokens: DataFrame) -> DataFrame:
+    """A token table written once below ``spark.checkpoint.dir``, and read from there.
+
+    What reads it prunes columns and row groups, and a lost executor costs no scan. Only
+    a local master may leave that setting out. The files go with the folder.
+    """
+    spark = tokens.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="structjson-")
+    path = f"{folder.rstrip('/')}/structjson/index-{uuid.uuid4().hex}"
+    tokens.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(tokens.schema).parquet(path)
+
+
 def write_index(tokens: DataFrame, path: str) -> None:
     """Store a token table, sorted by key within files so that a key's row groups can be skipped."""
     tokens.sortWithinPartitions("key", "doc_id", "tok").write.parquet(path)

@@ -2,8 +2,9 @@ import random
 
 import pytest
 
-from structjson.schema import BuildOptions
+from structjson.schema import TOKENS, BuildOptions
 from structjson.sources.scanner import decode_key, scan
+from structjson.sources.vectors import scan_many
 
 NAMES = ["tok", "raw", "role", "kind", "depth", "start", "end", "coarse", "parent", "close", "tape", "key", "val", "val_text", "text"]
 
@@ -116,3 +117,33 @@ def test_agrees_with_a_byte_by_byte_scan():
             for r in rows if r["raw"] != "Scalar"
         ]
         assert got == _by_byte(doc)
+
+
+def _soup(rng):
+    """Text that is JSON by luck only."""
+    pieces = ["{", "}", "[", "]", ":", ",", '"a"', '"', "\\", '\\"', " ", "1", "-2.5", "true", "x", "é", "\n", '"k":', '"k\\u0041":', "null"]
+    return "".join(rng.choice(pieces) for _ in range(rng.randrange(25))).encode()
+
+
+@pytest.mark.parametrize("keys, whole, only", [(True, True, None), (False, False, None), (True, False, ["k0", "kA", "a"])])
+def test_many_at_once_equal_one_by_one(keys, whole, only):
+    rng = random.Random(7)
+    docs = [rng.choice([_soup(rng), _random_json(rng).encode(), b"", b"\xff" + _random_json(rng).encode()]) for _ in range(1500)]
+    docs += [b"[" * 40 + b"]" * 40, b'"' + b"\\" * 7, b'["' + b"\\" * 8 + b'"]']
+    columns, tokens, left_out = TOKENS.names[1:], 0, 0
+    for at in range(0, len(docs), 29):
+        part = docs[at : at + 29]
+        doc, made, rest = scan_many(part, set(columns), keys, whole, only)
+        rows = list(zip(*(made[c].to_pylist() for c in columns)))
+        for i, d in enumerate(part):
+            got = [r for r, of in zip(rows, doc) if of == i]
+            found, error = scan(d, keys, whole)
+            want = [r for r in zip(*found) if only is None or r[columns.index("key")] in only]
+            if i in rest:
+                assert not got
+                left_out += error is None
+            else:
+                assert error is None and got == want
+                tokens += len(got)
+    assert tokens > (900 if only is None else 100) and left_out < 400
+    assert scan_many([], set(columns))[0].size == 0
