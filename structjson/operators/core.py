@@ -84,22 +84,18 @@ def _ranges(tokens: DataFrame, roots: DataFrame, compat: bool) -> DataFrame:
     return at.join(ends, "doc_id").select("doc_id", F.col("tok").alias("root"), F.coalesce("close_of", "final").alias("last"))
 
 
-def descendants(tokens: DataFrame, roots: DataFrame, compat: bool = False) -> DataFrame:
-    """The tokens of the subtrees of ``roots``, roots and closes included, each once.
+def descendants(tokens: DataFrame, roots: DataFrame, compat: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """The tokens of the subtrees of ``roots``, roots and closes included, each once; of ``among`` if it is given.
 
     One pass over each document in token order: a token is inside if some root at or
     before it ends at or after it.
     """
-    t = tokens.select(*ORDER, "close_of", F.lit(0).alias("root"))
-    marked = t.union(roots.select(*ORDER, F.lit(None).cast("int").alias("close_of"), F.lit(1).alias("root"))).repartition("doc_id")
-    here = Window.partitionBy("doc_id", "tok")
-    upto = Window.partitionBy("doc_id").orderBy("tok").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = tokens.where("close_of is not null").select(*ORDER, "close_of")
     own = F.lit(2**31 - 1) if compat else F.col("tok")
-    last = F.when(F.col("chosen") == 1, F.coalesce(F.col("held"), own))
-    return (
-        marked.withColumns({"chosen": F.max("root").over(here), "held": F.max("close_of").over(here)})
-        .withColumn("until", F.max(last).over(upto)).where("root = 0 and until >= tok").select(*ORDER)
-    )
+    ends = roots.select(*ORDER).distinct().join(held, ORDER, "left").select(*ORDER, F.coalesce("close_of", own).alias("last"), F.lit(0).alias("asks"))
+    rows = (tokens if among is None else among).select(*ORDER, F.lit(None).cast("int").alias("last"), F.lit(1).alias("asks"))
+    upto = Window.partitionBy("doc_id").orderBy("tok").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.union(ends).withColumn("until", F.max("last").over(upto)).where("asks = 1 and until >= tok").select(*ORDER)
 
 
 def keys_named_in(tokens: DataFrame, name: str, roots: DataFrame, compat: bool = False) -> DataFrame:
@@ -109,11 +105,15 @@ def keys_named_in(tokens: DataFrame, name: str, roots: DataFrame, compat: bool =
     return t.join(r, inside).select("t.doc_id", "r.root", "t.tok")
 
 
-def field_of(tokens: DataFrame, parents: DataFrame, name: str) -> DataFrame:
-    """``doc_id, parent, tok``: value of the first direct key of that name; parents without one drop out."""
+def field_of(tokens: DataFrame, parents: DataFrame | None, name: str) -> DataFrame:
+    """``doc_id, parent, tok``: value of the first direct key of that name; parents without one drop out.
+
+    Without ``parents``, of every token.
+    """
     k = tokens.where((F.col("role") == "Key") & (F.col("key") == name)).select("doc_id", "parent", F.col("tok").alias("k"), "val_tok")
-    p = parents.select("doc_id", F.col("tok").alias("parent")).distinct()
-    return k.join(p, ["doc_id", "parent"], "left_semi").groupBy("doc_id", "parent").agg(F.min_by("val_tok", "k").alias("tok")).where("tok is not null")
+    if parents is not None:
+        k = k.join(parents.select("doc_id", F.col("tok").alias("parent")).distinct(), ["doc_id", "parent"], "left_semi")
+    return k.where("parent is not null").groupBy("doc_id", "parent").agg(F.min_by("val_tok", "k").alias("tok")).where("tok is not null")
 
 
 def children(tokens: DataFrame, parents: DataFrame) -> DataFrame:

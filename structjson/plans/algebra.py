@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from enum import Enum
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -267,14 +266,25 @@ class OpPlan:
         where there are several.
         """
 
-        def step(state: DataFrame | None, op: Op) -> DataFrame:
-            if op.card is not CardClass.CONSTANT:
-                return op.apply(tokens, tokens.select(*ORDER) if state is None else state)
-            found = op.apply(tokens, state)
-            return found if state is None else state.join(found, ORDER, "left_semi")
-
-        out = reduce(step, self.optimize().ops, None)
-        return tokens.select(*ORDER) if out is None else out
+        every = lambda: tokens.select(*ORDER)
+        ops, state = list(self.optimize().ops), None  # no state: all tokens
+        while ops:
+            op = ops.pop(0)
+            if isinstance(op, Descendants):
+                # What loads keep of the subtrees is all that is looked for in them.
+                among = None
+                while ops and isinstance(ops[0], (LoadKey, LoadDepth)):
+                    found = ops.pop(0).apply(tokens, state)
+                    among = found if among is None else among.join(found, ORDER, "left_semi")
+                state = core.descendants(tokens, every() if state is None else state, among=among)
+            elif op.card is CardClass.CONSTANT:
+                found = op.apply(tokens, state)
+                state = found if state is None else state.join(found, ORDER, "left_semi")
+            elif isinstance(op, FieldOf):
+                state = op.apply(tokens, state)
+            else:
+                state = op.apply(tokens, every() if state is None else state)
+        return every() if state is None else state
 
 
 def run_first(plan: OpPlan, tokens: DataFrame) -> DataFrame:
