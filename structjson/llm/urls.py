@@ -83,8 +83,7 @@ def templates(shapes: DataFrame, max_children: int, z: float) -> DataFrame:
     further, as no test could tell its branches apart; what lies below it is ``/**``.
     Levels go on until no other node is left.
     """
-    rest = written(shapes.withColumn("template", F.lit("")), "templates")
-    level, done = 0, []
+    rest, level, done = shapes.withColumn("template", F.lit("")), 0, []
     while True:
         level += 1
         seg = F.get(F.split("shape", "/"), F.lit(level))
@@ -92,16 +91,13 @@ def templates(shapes: DataFrame, max_children: int, z: float) -> DataFrame:
         mixed = node.where("nb > 1e-9 and nb < nl - 1e-9 and many > 1").drop("many")
         now = written(rest.join(mixed, ["host", "template"], "left").withColumn("seg", seg), "templates")
         ended = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/**")))
-        done.append(written(now.where("nl is null or seg is null").select("host", "shape", "n", "bad", "labelled", ended.alias("template")), "templates"))
+        done.append(now.where("nl is null or seg is null").select("host", "shape", "n", "bad", "labelled", ended.alias("template")))
         cut = now.where("nl is not null and seg is not null")
-        drop_written(rest)
         if cut.isEmpty():
-            drop_written(now)
             return reduce(DataFrame.union, done)
         child = cut.groupBy("host", "template", "seg", "nb", "nl").agg(F.sum("bad").alias("cb"), F.sum("labelled").alias("cl"))
         named = cut.join(_names(child, max_children, z), ["host", "template", "seg"])
-        rest = written(named.select("host", "shape", "n", "bad", "labelled", F.concat("template", F.lit("/"), "name").alias("template")), "templates")
-        drop_written(now)
+        rest = named.select("host", "shape", "n", "bad", "labelled", F.concat("template", F.lit("/"), "name").alias("template"))
 
 
 def filter_urls(
@@ -146,7 +142,7 @@ def filter_urls(
     shapes = written(shapes, "shapes")
     bad, labelled = shapes.agg(F.sum("bad"), F.sum("labelled")).first()
     overall = ((bad or 0.0) + base_rate * prior) / ((labelled or 0.0) + prior)
-    t = templates(shapes, max_children, z)
+    t = written(templates(shapes, max_children, z), "templates")
     by_host = t.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).select(
         "host", ((F.col("hb") + prior * overall) / (F.col("hl") + prior)).alias("host_rate")
     )
