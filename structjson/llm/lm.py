@@ -367,7 +367,7 @@ class _Places(dict):
         return n
 
 
-def learned(texts: DataFrame, model: Model, stride: int = 2, batch: int = 2048) -> Model:
+def learned(texts: DataFrame, model: Model, stride: int = 2, batch: int = 4096) -> Model:
     """``model`` with parameters trained on ``texts(ids)``: every token is a target once.
 
     Round ``k`` of ``stride`` trains on the places ``k, k + stride, ...`` of every text
