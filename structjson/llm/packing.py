@@ -171,8 +171,10 @@ def plan_bins(
                     )
                     n = m
                 i, n = n, n + 1
-                left[i], start[i], count[i], used[i] = caps, bins, rest, 0
-                bins += rest
+                # Bins that equal items fill to the last one that fits; what is left over opens one more.
+                opened = max(1, rest // int((caps // demand).min()))
+                left[i], start[i], count[i], used[i] = caps, bins, opened, 0
+                bins += opened
             k = min(rest, int(count[i]))
             runs.append((length, rank, k, int(start[i]), int(used[i])))
             if k < count[i]:
