@@ -148,11 +148,18 @@ def write_archive(
     shard (one task), and its files are rolled at ``roll_bytes`` compressed. An id
     is never split, so rows that repeat one share a shard.
 
+    A folder that holds a committed archive is not written to again.
+
     Null html is an empty payload, a null url leaves the target out. Rows with a
     null id are responses without a page id, spread over all shards, and are never
     referred to. Rows that repeat are written again, under record ids of their own. Other columns are ignored; no rows give no files.
     """
     spark = pages.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(conf)
+    if store.exists(path(f"{folder}/manifest")):
+        raise FileExistsError(f"{folder} holds a committed archive")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digests = pages.select("page_id", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     digests = written(digests, "digests")
@@ -226,9 +233,7 @@ def write_archive(
             yield batch
 
     manifest.select("temp", "file").mapInArrow(move, "temp string, file string").agg(F.count("*")).collect()
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    if not path(folder).getFileSystem(conf).rename(path(manifest_path), path(f"{folder}/manifest")):
+    if not store.rename(path(manifest_path), path(f"{folder}/manifest")):
         raise OSError(f"{folder}: the manifest could not be committed")
     drop_written(digests)
     drop_path(spark, f"{folder}/_temporary")
