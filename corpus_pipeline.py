@@ -41,7 +41,7 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: The classifier, the tokenizer and the bins are beyond SQL; the tests compare with brute force.
+#: The classifier, the tokenizer and the bins are beyond SQL; the tests run the stages on a fixture.
 ORACLE_SQL = None
 
 
