@@ -349,7 +349,8 @@ def encoded(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         made.select("row", F.explode("tail").alias("word")).join(counts.where("n > 1"), "word")
         .groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     )
-    more = written(more, "shares")
+    # Grouped once more, rows are known to be unique, so Catalyst leaves the join out where the share is not read.
+    more = written(more, "shares").groupBy("row").agg(F.sum("more").alias("more"))
     return made.drop("tail").join(more, "row", "left").withColumn("share", F.col("share") + F.coalesce("more", F.lit(0.0))).drop("more")
 
 
@@ -441,13 +442,17 @@ def fit_and_score(docs: DataFrame, **options) -> DataFrame:
 
 
 def _scored(texts: DataFrame, model: Model) -> DataFrame:
+    """Scores of texts where they lie; only their sums meet the shares, so ids are not shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, rows_of = paths(model.levels), context_rows(model.size, model.shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                pll = _sums(model, tree, rows_of, part.column(2)) + part.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pll, pa.float64())], ["doc_id", "n_tokens", "pll"])
+                sums = pa.array(_sums(model, tree, rows_of, part.column(3)), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sums], ["row", "doc_id", "n_tokens", "sums"])
 
-    scored = texts.select("doc_id", "n", "ids", "share").mapInArrow(run, "doc_id long, n_tokens long, pll double")
+    scored = texts.select("row", "doc_id", "n", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, sums double")
+    pll = (F.col("sums") + F.col("share")).alias("pll")
+    scored = scored.join(texts.select("row", "share"), "row").select("doc_id", "n_tokens", pll)
     return scored.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))
