@@ -13,6 +13,15 @@ from ..functions.values import json_number_eq, multi_key_pattern, value_matches
 ORDER = ["doc_id", "tok"]
 
 
+def sorted_join(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is to be a merge join.
+
+    Columns of tokens are stored so small that the planner would broadcast millions of
+    rows by way of the driver.
+    """
+    return rows.hint("merge")
+
+
 def _per_doc(docs: DataFrame, found: DataFrame, value: str, default) -> DataFrame:
     """A figure for every document, ``default`` for those without tokens."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -49,9 +58,13 @@ def value_for_key(tokens: DataFrame) -> DataFrame:
 
 # Keys.
 
+def key_test(name: str, depth: int | None = None) -> Column:
+    test = (F.col("role") == "Key") & (F.col("key") == name)
+    return test if depth is None else test & (F.col("depth") == depth)
+
+
 def keys_named(tokens: DataFrame, name: str, depth: int | None = None) -> DataFrame:
-    rows = tokens.where((F.col("role") == "Key") & (F.col("key") == name))
-    return (rows if depth is None else rows.where(F.col("depth") == depth)).select(*ORDER)
+    return tokens.where(key_test(name, depth)).select(*ORDER)
 
 
 def has_key(docs: DataFrame, tokens: DataFrame, name: str) -> DataFrame:

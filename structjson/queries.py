@@ -28,7 +28,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(  # noqa: E741
         F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag")))).alias("lines")
     )
-    return o.join(l, o.o_orderkey == l.l_orderkey).select(
+    return o.join(core.sorted_join(l), o.o_orderkey == l.l_orderkey).select(
         F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct("o_orderkey", "status", "lines")).alias("json")
     )
 
@@ -174,8 +174,8 @@ _query("run_count", "O", "SELECT doc_id, count(*) AS n FROM toks WHERE key = 'fl
 _query("at_depth", "O", "SELECT doc_id, tok FROM toks WHERE depth = 2", cols="depth")(lambda d, t: OpPlan().at_depth(2).run(t))
 _query("value_eq", "O", "SELECT doc_id, tok + 2 AS tok FROM toks WHERE key = 'status' AND vt = '\"F\"'", cols="role key parent val_tok text", stored=True)(
     lambda d, t: OpPlan().all().field("status").value_eq("F").run(t))
-_query("hits_and_or", "O", "SELECT doc_id, count(*) AS n FROM toks WHERE key IN ('n', 'flag') AND depth = 3 GROUP BY doc_id", cols="role key depth", stored=True)(
-    lambda d, t: KeyHits.named(t, "n").or_(KeyHits.named(t, "flag")).and_(KeyHits(t, t.select("doc_id", "tok"))).at_depth(3).count())
+_query("hits_and_or", "O", "SELECT doc_id, count(*) AS n FROM toks WHERE key IN ('n', 'flag') AND depth = 3 GROUP BY doc_id", cols="role key depth")(
+    lambda d, t: KeyHits.named(t, "n").or_(KeyHits.named(t, "flag")).and_(KeyHits.all(t)).at_depth(3).count())
 _query("hits_first_last", "O", "SELECT doc_id, min(tok) AS tok, max(tok) AS last_tok FROM toks WHERE key = 'flag' GROUP BY doc_id", cols="role key", stored=True)(
     lambda d, t: KeyHits.named(t, "flag").first().join(KeyHits.named(t, "flag").last().withColumnRenamed("tok", "last_tok"), "doc_id"))
 _PROBES = "probes AS (SELECT doc_id, unnest([3, 17, 40]) AS pos FROM docs)"

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from structjson import queries
 from structjson.functions import values
 from structjson.operators import core
 from structjson.operators.hits import KeyHits
@@ -188,6 +189,28 @@ def test_hits_equal_brute_force(many):
     assert pairs(lamp.count(), "doc_id", "n") == [(i, len(x)) for i, x in mine.items() if x]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_not_broadcast(many):
+    _, _, want, t = many
+    lamp, w = KeyHits.named(t, "lamp"), KeyHits.named(t, "w")
+    filtered = lamp.or_(w).and_(KeyHits.all(t)).at_depth(1)
+    given = KeyHits(t, lamp.or_(w).rows).and_(KeyHits(t, t.select("doc_id", "tok"))).at_depth(1)
+    assert "Join" not in plan_of(filtered.count()) and "Broadcast" not in plan_of(given.count())
+    keys = every(want, lambda ts, n, x: x.key in ("lamp", "w") and x.depth == 1)
+    assert keys and pairs(filtered.rows, "doc_id", "tok") == pairs(given.rows, "doc_id", "tok") == keys
+
+
+def test_order_documents_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, "O"), (2, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, "N"), (1, 2, "R")], "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = queries.orders(spark, str(tmp_path))
+    assert "Broadcast" not in plan_of(docs)
+    assert pairs(docs, "doc_id", "json") == [(1, '{"o_orderkey":1,"status":"O","lines":[{"n":1,"flag":"N"},{"n":2,"flag":"R"}]}')]
+
+
 def test_columns_on_demand(spark):
     docs = spark.createDataFrame([(1, '{"w":[1,{"w":"\\u0041"}]}'), (2, '\\{"w":2}'), (3, None)], "doc_id long, json string")
     whole = index_json(docs)
