@@ -10,12 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import value_matches
 from ..operators import core
-from ..operators.core import ORDER
+from ..operators.core import ORDER, sorted_join
 
 
 class CardClass(Enum):
@@ -34,6 +34,10 @@ class Op:
     card = CardClass.SUBSET
     demand = False
 
+    def test(self) -> Column | None:
+        """The condition on a token that gives the step's result from all tokens, if one does."""
+        return None
+
     def apply(self, tokens: DataFrame, state: DataFrame) -> DataFrame:
         raise NotImplementedError
 
@@ -51,10 +55,27 @@ class _Load(Op):
     card = CardClass.CONSTANT
 
 
+class _Both(Op):
+    """A set operation; of two conditions it is one filter."""
+
+    def apply(self, tokens, state):
+        test = self.test()
+        if test is not None:
+            return tokens.where(test).select(*ORDER).distinct()
+        return self._meet(self.a.apply(tokens, state), self.b.apply(tokens, state))
+
+    def test(self):
+        a, b = self.a.test(), self.b.test()
+        return None if a is None or b is None else self._combine(a, F.coalesce(b, F.lit(False)))
+
+
 @dataclass(frozen=True)
 class LoadKey(_Load):
     name: str
 
+    def test(self):
+        return core.key_test(self.name)
+
     def apply(self, tokens, state):
         return core.keys_named(tokens, self.name)
 
@@ -63,8 +84,11 @@ class LoadKey(_Load):
 class LoadDepth(_Load):
     depth: int
 
+    def test(self):
+        return F.col("depth") == self.depth
+
     def apply(self, tokens, state):
-        return tokens.where(F.col("depth") == self.depth).select(*ORDER)
+        return tokens.where(self.test()).select(*ORDER)
 
 
 @dataclass(frozen=True)
@@ -79,6 +103,9 @@ class LoadSubtree(_Load):
 
 @dataclass(frozen=True)
 class LoadAll(_Load):
+    def test(self):
+        return F.lit(True)
+
     def apply(self, tokens, state):
         return tokens.select(*ORDER)
 
@@ -98,30 +125,39 @@ def _anchors(tokens: DataFrame, at: object) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class And(Op):
+class And(_Both):
     a: Op
     b: Op
 
-    def apply(self, tokens, state):
-        return self.a.apply(tokens, state).distinct().join(self.b.apply(tokens, state), ORDER, "left_semi")
+    def _combine(self, a, b):
+        return a & b
+
+    def _meet(self, a, b):
+        return a.distinct().join(sorted_join(b), ORDER, "left_semi")
 
 
 @dataclass(frozen=True)
-class Or(Op):
+class Or(_Both):
     a: Op
     b: Op
 
-    def apply(self, tokens, state):
-        return self.a.apply(tokens, state).union(self.b.apply(tokens, state)).distinct()
+    def _combine(self, a, b):
+        return a | b
+
+    def _meet(self, a, b):
+        return a.union(b).distinct()
 
 
 @dataclass(frozen=True)
-class Sub(Op):
+class Sub(_Both):
     a: Op
     b: Op
 
-    def apply(self, tokens, state):
-        return self.a.apply(tokens, state).distinct().join(self.b.apply(tokens, state), ORDER, "left_anti")
+    def _combine(self, a, b):
+        return a & ~b
+
+    def _meet(self, a, b):
+        return a.distinct().join(sorted_join(b), ORDER, "left_anti")
 
 
 @dataclass(frozen=True)

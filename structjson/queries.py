@@ -160,7 +160,7 @@ _query("descend_by_key", "O", """, r AS MATERIALIZED (SELECT doc_id, tok, close_
 _query("within", "O", """SELECT t.doc_id, t.tok FROM toks t JOIN (SELECT doc_id, tok, close_of FROM toks WHERE t = '[') r
  ON t.doc_id = r.doc_id AND t.tok BETWEEN r.tok AND r.close_of WHERE t.key = 'n'""", cols="role key parent val_tok close_of", stored=True)(
     lambda d, t: OpPlan().by_key("n").within(core.field_of(t, t.where("tok = 0"), "lines")).run(t))
-_query("plan_and", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' AND depth = 3", cols="role key depth", stored=True)(lambda d, t: OpPlan().push(And(LoadKey("n"), LoadDepth(3))).run(t))
+_query("plan_and", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' AND depth = 3", cols="role key depth")(lambda d, t: OpPlan().push(And(LoadKey("n"), LoadDepth(3))).run(t))
 _query("plan_or", "O", "SELECT doc_id, tok FROM toks WHERE key IN ('n', 'status')", cols="role key", stored=True)(lambda d, t: OpPlan().push(Or(LoadKey("n"), LoadKey("status"))).run(t))
 _query("plan_sub", "O", "SELECT doc_id, tok FROM toks WHERE depth = 1 AND key IS DISTINCT FROM 'status'", cols="role key depth", stored=True)(
     lambda d, t: OpPlan().push(Sub(LoadDepth(1), LoadKey("status"))).run(t))

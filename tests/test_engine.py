@@ -7,7 +7,7 @@ from structjson import queries
 from structjson.functions import values
 from structjson.operators import core
 from structjson.operators.hits import KeyHits
-from structjson.plans.algebra import And, CardClass, Count, LoadDepth, LoadKey, OpPlan, Or, Sub, card_class, run_count, run_first, supports_demand
+from structjson.plans.algebra import And, CardClass, Count, LoadDepth, LoadKey, LoadOne, OpPlan, Or, Sub, card_class, run_count, run_first, supports_demand
 from structjson.schema import BuildOptions
 from structjson.sources.index import explain_index, index_errors, index_json, read_index, stored_index, write_index
 from structjson.streaming.index import find_eq_stream
@@ -203,6 +203,20 @@ def test_hits_are_not_broadcast(many):
     assert keys and pairs(filtered.rows, "doc_id", "tok") == pairs(given.rows, "doc_id", "tok") == keys
 
 
+def test_set_operations_are_not_broadcast(many):
+    _, _, want, t = many
+    lamp = lambda x: x.key == "lamp"
+    one = lambda x: x.depth == 1
+    for op, test in ((And, lambda x: lamp(x) and one(x)), (Or, lambda x: lamp(x) or one(x)), (Sub, lambda x: lamp(x) and not one(x))):
+        filtered = OpPlan((op(LoadKey("lamp"), LoadDepth(1)),)).run(t)
+        tokens_of = t.select("doc_id", "tok", "depth")  # sides of which one is given as rows
+        joined = OpPlan((op(LoadKey("lamp"), LoadOne(tokens_of.where("depth = 1"))),)).run(t)
+        assert "Join" not in plan_of(filtered)
+        assert pairs(filtered, "doc_id", "tok") == pairs(joined, "doc_id", "tok") == every(want, lambda ts, n, x: test(x))  # noqa: B023
+    nested = OpPlan((Sub(LoadDepth(1), Or(LoadKey("lamp"), And(LoadKey("w"), LoadDepth(1)))),))
+    assert pairs(nested.run(t), "doc_id", "tok") == every(want, lambda ts, n, x: x.depth == 1 and x.key not in ("lamp", "w"))
+
+
 def test_order_documents_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([(1, "O"), (2, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 1, "N"), (1, 2, "R")], "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
