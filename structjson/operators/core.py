@@ -90,11 +90,11 @@ def count_key(docs: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
 
 def _ranges(tokens: DataFrame, roots: DataFrame, compat: bool) -> DataFrame:
     """``doc_id, root, last`` of anchors; a leaf is alone (compat: it reaches to the document's end)."""
-    at = roots.select(*ORDER).distinct().join(tokens.select(*ORDER, "close_of"), ORDER)
+    at = roots.select(*ORDER).distinct().join(sorted_join(tokens.select(*ORDER, "close_of")), ORDER)
     if not compat:
         return at.select("doc_id", F.col("tok").alias("root"), F.coalesce("close_of", "tok").alias("last"))
     ends = tokens.groupBy("doc_id").agg(F.max("tok").alias("final"))
-    return at.join(ends, "doc_id").select("doc_id", F.col("tok").alias("root"), F.coalesce("close_of", "final").alias("last"))
+    return at.join(sorted_join(ends), "doc_id").select("doc_id", F.col("tok").alias("root"), F.coalesce("close_of", "final").alias("last"))
 
 
 def descendants(tokens: DataFrame, roots: DataFrame, compat: bool = False, among: DataFrame | None = None) -> DataFrame:
@@ -113,9 +113,11 @@ def descendants(tokens: DataFrame, roots: DataFrame, compat: bool = False, among
 
 def keys_named_in(tokens: DataFrame, name: str, roots: DataFrame, compat: bool = False) -> DataFrame:
     """Key tokens of that name inside each root: ``doc_id, root, tok``."""
-    r, t = _ranges(tokens, roots, compat).alias("r"), keys_named(tokens, name).alias("t")
+    # A root that is neither a container nor such a key holds none.
+    may = tokens if compat else tokens.where(F.col("close_of").isNotNull() | key_test(name))
+    r, t = _ranges(may, roots, compat).alias("r"), keys_named(tokens, name).alias("t")
     inside = (F.col("t.doc_id") == F.col("r.doc_id")) & F.col("t.tok").between(F.col("r.root"), F.col("r.last"))
-    return t.join(r, inside).select("t.doc_id", "r.root", "t.tok")
+    return t.join(sorted_join(r), inside).select("t.doc_id", "r.root", "t.tok")
 
 
 def field_of(tokens: DataFrame, parents: DataFrame | None, name: str) -> DataFrame:

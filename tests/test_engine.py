@@ -217,6 +217,14 @@ def test_set_operations_are_not_broadcast(many):
     assert pairs(nested.run(t), "doc_id", "tok") == every(want, lambda ts, n, x: x.depth == 1 and x.key not in ("lamp", "w"))
 
 
+def test_keys_inside_roots_are_not_broadcast(many):
+    _, _, want, t = many
+    inside = core.keys_named_in(t, "w", t)  # every token is a root, leaves and the keys themselves too
+    ends = lambda ts, a: a if ts[a].close is None else ts[a].close
+    assert "Broadcast" not in plan_of(inside) + plan_of(core.keys_named_in(t, "w", t, compat=True))
+    assert pairs(inside, "doc_id", "root", "tok") == sorted((i, a, n) for i, ts in want.items() for n, x in enumerate(ts) if x.key == "w" for a in range(n + 1) if ends(ts, a) >= n)
+
+
 def test_order_documents_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([(1, "O"), (2, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 1, "N"), (1, 2, "R")], "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
