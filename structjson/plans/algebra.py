@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from enum import Enum
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -304,18 +306,24 @@ class OpPlan:
 
         every = lambda: tokens.select(*ORDER)
         ops, state = list(self.optimize().ops), None  # no state: all tokens
+        loads = []  # of a plan that starts with conditions; two keys are folded into one step
+        while ops and (op := ops[0]).test() is not None and (op.card is CardClass.CONSTANT or not loads):
+            loads.append(ops.pop(0))
+        if loads:
+            state = tokens.where(reduce(and_, (op.test() for op in loads))).select(*ORDER)
+            state = state.distinct() if isinstance(loads[0], _Both) else state
         while ops:
             op = ops.pop(0)
             if isinstance(op, Descendants):
                 # What loads keep of the subtrees is all that is looked for in them.
-                among = None
+                tests = []
                 while ops and isinstance(ops[0], (LoadKey, LoadDepth)):
-                    found = ops.pop(0).apply(tokens, state)
-                    among = found if among is None else among.join(found, ORDER, "left_semi")
+                    tests.append(ops.pop(0).test())
+                among = tokens.where(reduce(and_, tests)).select(*ORDER) if tests else None
                 state = core.descendants(tokens, every() if state is None else state, among=among)
             elif op.card is CardClass.CONSTANT:
                 found = op.apply(tokens, state)
-                state = found if state is None else state.join(found, ORDER, "left_semi")
+                state = found if state is None else state.join(sorted_join(found), ORDER, "left_semi")
             elif isinstance(op, FieldOf):
                 state = op.apply(tokens, state)
             else:

@@ -230,7 +230,7 @@ _query("hits_collected", "O", "SELECT doc_id, string_agg(tok::VARCHAR, ',' ORDER
     lambda d, t: KeyHits.named(t, "n").collected().select("doc_id", F.array_join(F.col("toks").cast("array<string>"), ",").alias("toks")))
 _query("hits_in_order", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' ORDER BY doc_id, tok", cols="role key")(lambda d, t: KeyHits.named(t, "n").ordered())
 _query("plan_anchor", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n'", cols="role key close_of", stored=True)(lambda d, t: OpPlan().anchor(0).descend().by_key("n").run(t))
-_query("plan_optimized", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' AND depth = 3", cols="role key depth", stored=True)(
+_query("plan_optimized", "O", "SELECT doc_id, tok FROM toks WHERE key = 'n' AND depth = 3", cols="role key depth")(
     lambda d, t: OpPlan().all().by_key("n").by_key("n").at_depth(3).optimize().run(t))
 _OPS = (LoadKey("n"), LoadDepth(1), algebra.LoadAll(), algebra.FieldOf("n"), algebra.Descendants(), algebra.AllChildren(), algebra.ValueEqLit("1"), algebra.First(), algebra.Nth(0), algebra.Count())
 

@@ -225,6 +225,18 @@ def test_keys_inside_roots_are_not_broadcast(many):
     assert pairs(inside, "doc_id", "root", "tok") == sorted((i, a, n) for i, ts in want.items() for n, x in enumerate(ts) if x.key == "w" for a in range(n + 1) if ends(ts, a) >= n)
 
 
+def test_loads_in_a_row_are_not_broadcast(many):
+    _, _, want, t = many
+    at_one = every(want, lambda ts, n, x: x.key == "lamp" and x.depth == 1)
+    for plan in (OpPlan().all().by_key("lamp").by_key("lamp").at_depth(1), OpPlan().by_key("lamp").at_depth(1), OpPlan().all().all().at_depth(1).by_key("lamp")):
+        assert "Join" not in plan_of(plan.run(t)) and pairs(plan.run(t), "doc_id", "tok") == at_one
+    after = OpPlan().at_depth(1).children().by_key("lamp").at_depth(2).run(t)  # loads that narrow what a step has made
+    assert pairs(after, "doc_id", "tok") == every(want, lambda ts, n, x: x.key == "lamp" and x.depth == 2)
+    below_one = OpPlan().at_depth(1).descend().by_key("lamp").at_depth(2).run(t)
+    assert pairs(below_one, "doc_id", "tok") == every(want, lambda ts, n, x: x.key == "lamp" and x.depth == 2)
+    assert OpPlan().by_key("lamp").by_key("w").run(t).count() == 0
+
+
 def test_order_documents_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([(1, "O"), (2, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 1, "N"), (1, 2, "R")], "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
