@@ -25,7 +25,7 @@ def sorted_join(rows: DataFrame) -> DataFrame:
 def _per_doc(docs: DataFrame, found: DataFrame, value: str, default) -> DataFrame:
     """A figure for every document, ``default`` for those without tokens."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce(value, F.lit(default)).alias(value))
+    return ids.join(sorted_join(found), "doc_id", "left").select("doc_id", F.coalesce(value, F.lit(default)).alias(value))
 
 
 # Figures of a document.
@@ -105,7 +105,7 @@ def descendants(tokens: DataFrame, roots: DataFrame, compat: bool = False, among
     """
     held = tokens.where("close_of is not null").select(*ORDER, "close_of")
     own = F.lit(2**31 - 1) if compat else F.col("tok")
-    ends = roots.select(*ORDER).distinct().join(held, ORDER, "left").select(*ORDER, F.coalesce("close_of", own).alias("last"), F.lit(0).alias("asks"))
+    ends = roots.select(*ORDER).distinct().join(sorted_join(held), ORDER, "left").select(*ORDER, F.coalesce("close_of", own).alias("last"), F.lit(0).alias("asks"))
     rows = (tokens if among is None else among).select(*ORDER, F.lit(None).cast("int").alias("last"), F.lit(1).alias("asks"))
     upto = Window.partitionBy("doc_id").orderBy("tok").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.union(ends).withColumn("until", F.max("last").over(upto)).where("asks = 1 and until >= tok").select(*ORDER)
@@ -127,14 +127,14 @@ def field_of(tokens: DataFrame, parents: DataFrame | None, name: str) -> DataFra
     """
     k = tokens.where((F.col("role") == "Key") & (F.col("key") == name)).select("doc_id", "parent", F.col("tok").alias("k"), "val_tok")
     if parents is not None:
-        k = k.join(parents.select("doc_id", F.col("tok").alias("parent")).distinct(), ["doc_id", "parent"], "left_semi")
+        k = k.join(sorted_join(parents.select("doc_id", F.col("tok").alias("parent")).distinct()), ["doc_id", "parent"], "left_semi")
     return k.where("parent is not null").groupBy("doc_id", "parent").agg(F.min_by("val_tok", "k").alias("tok")).where("tok is not null")
 
 
 def children(tokens: DataFrame, parents: DataFrame) -> DataFrame:
     """Tokens whose innermost container is one of ``parents``."""
     p = parents.select("doc_id", F.col("tok").alias("parent")).distinct()
-    return tokens.join(p, ["doc_id", "parent"], "left_semi").select(*ORDER)
+    return tokens.join(sorted_join(p), ["doc_id", "parent"], "left_semi").select(*ORDER)
 
 
 # Fused queries.
@@ -208,7 +208,7 @@ def ancestors(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
     a = anchors.select(*ORDER).distinct().alias("a")
     c = tokens.where("close_of is not null").select("doc_id", "tok", "close_of", "depth", "tape").alias("c")
     around = (F.col("a.doc_id") == F.col("c.doc_id")) & (F.col("c.tok") < F.col("a.tok")) & (F.col("a.tok") < F.col("c.close_of"))
-    return a.join(c, around).select("a.doc_id", "a.tok", F.col("c.tok").alias("ancestor"), "c.depth", "c.tape")
+    return a.join(sorted_join(c), around).select("a.doc_id", "a.tok", F.col("c.tok").alias("ancestor"), "c.depth", "c.tape")
 
 
 def parents_as_tape(tokens: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ class LoadOne(_Load):
 def _anchors(tokens: DataFrame, at: object) -> DataFrame:
     """A token number of every document, or a frame of ``(doc_id, tok)``."""
     rows = tokens.select(*ORDER)
-    return rows.join(at.select(*ORDER).distinct(), ORDER, "left_semi") if isinstance(at, DataFrame) else rows.where(F.col("tok") == at)
+    return rows.join(sorted_join(at.select(*ORDER).distinct()), ORDER, "left_semi") if isinstance(at, DataFrame) else rows.where(F.col("tok") == at)
 
 
 @dataclass(frozen=True)
@@ -193,7 +193,7 @@ class ValueEqLit(Op):
     literal: str
 
     def apply(self, tokens, state):
-        return tokens.where(value_matches(F.col("text"), self.literal)).select(*ORDER).join(state, ORDER, "left_semi")
+        return tokens.where(value_matches(F.col("text"), self.literal)).select(*ORDER).join(sorted_join(state), ORDER, "left_semi")
 
 
 class _Reduce(Op):
@@ -228,7 +228,7 @@ class Count(_Reduce):
 
     def apply(self, tokens, state):
         n = state.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-        return tokens.select("doc_id").distinct().join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("tok"))
+        return tokens.select("doc_id").distinct().join(sorted_join(n), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("tok"))
 
 
 @dataclass(frozen=True)

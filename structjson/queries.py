@@ -177,7 +177,7 @@ _query("value_eq", "O", "SELECT doc_id, tok + 2 AS tok FROM toks WHERE key = 'st
 _query("hits_and_or", "O", "SELECT doc_id, count(*) AS n FROM toks WHERE key IN ('n', 'flag') AND depth = 3 GROUP BY doc_id", cols="role key depth")(
     lambda d, t: KeyHits.named(t, "n").or_(KeyHits.named(t, "flag")).and_(KeyHits.all(t)).at_depth(3).count())
 _query("hits_first_last", "O", "SELECT doc_id, min(tok) AS tok, max(tok) AS last_tok FROM toks WHERE key = 'flag' GROUP BY doc_id", cols="role key", stored=True)(
-    lambda d, t: KeyHits.named(t, "flag").first().join(KeyHits.named(t, "flag").last().withColumnRenamed("tok", "last_tok"), "doc_id"))
+    lambda d, t: KeyHits.named(t, "flag").first().join(core.sorted_join(KeyHits.named(t, "flag").last().withColumnRenamed("tok", "last_tok")), "doc_id"))
 _PROBES = "probes AS (SELECT doc_id, unnest([3, 17, 40]) AS pos FROM docs)"
 
 

@@ -237,6 +237,17 @@ def test_loads_in_a_row_are_not_broadcast(many):
     assert OpPlan().by_key("lamp").by_key("w").run(t).count() == 0
 
 
+def test_joins_by_document_are_not_broadcast(many):
+    docs, _, _, t = many
+    opens = t.where("close_of is not null")
+    found = (
+        core.token_count(docs, t), core.descendants(t, opens), core.field_of(t, opens, "lamp"), core.children(t, opens), core.ancestors(t, t),
+        OpPlan().all().field("lamp").value_eq("on").run(t), OpPlan().by_key("w").within(opens).count().run(t),
+        OpPlan((And(LoadKey("lamp"), LoadOne(t.where("depth = 1"))),)).run(t), OpPlan().at_depth(1).children().by_key("lamp").run(t),
+    )
+    assert [x for x in map(plan_of, found) if "Join" not in x or "Broadcast" in x] == []
+
+
 def test_order_documents_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([(1, "O"), (2, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 1, "N"), (1, 2, "R")], "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
