@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Links that one task joins; more take rounds of all tasks.
+FEW_LINKS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,10 +78,31 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return one.join(many, [*keys, "_part"], "left").drop("_part")
 
 
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links ``u, v``, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (apart := root[i] != root[j]).any():
+        x, y = root[i[apart]], root[j[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if held:
+        cols = least_reached(*(np.concatenate(c) for c in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "component"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected ``links``: rows ``(node, component)``.
+    """Connected components of undirected ``links`` of longs: rows ``(node, component)``.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), which end
+    Up to ``FEW_LINKS`` links are joined by one task, as rounds cost more than they do. For
+    more, alternates large-star and small-star steps (Kiveris et al., 2014), which end
     with each node linked to the smallest node of its component. Each round is
     written, so a lost executor costs one round; no round collects links. Rounds go on
     until none changes a link; each lowers the nodes that links point to, so they end.
@@ -85,6 +111,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links"
     )
+    if edges.count() <= FEW_LINKS:
+        return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "node long, component long")
     seen = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

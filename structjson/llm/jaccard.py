@@ -413,6 +413,13 @@ def _bucketed(source: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Callable
     return spark.table(name), drop
 
 
+def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, component`` as links ``a, b`` join the components ``parts``, which stand for the links before."""
+    if parts is not None:
+        links = links.union(parts.select("node", "component"))
+    return written(components(links), "parts")
+
+
 def _parts(texts: DataFrame, sketches: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """``rep, component`` of the texts that links join, from ``texts(rep, text)`` and ``sketches(rep, n, sketch)``."""
     spark = texts.sparkSession
@@ -431,7 +438,7 @@ def _parts(texts: DataFrame, sketches: DataFrame, size: int, num: int, den: int)
 
     tried = written(admitted(star), "pairs")
     links = written(_verify(tried, texts, size, num, den), "similar")
-    made = [tried, links]
+    made, parts = [tried, links], None
     _release(spark)
     # Keys of three documents or more; of those with the same documents, one.
     sets = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("size"))
@@ -441,7 +448,9 @@ def _parts(texts: DataFrame, sketches: DataFrame, size: int, num: int, den: int)
     # `most` grows in every round and reaches the rows of a block, which leaves nothing open.
     most = 1
     while True:
-        parts = written(components(links), "parts")
+        if parts is None or not links.isEmpty():
+            parts = _grown(parts, links)
+            made.append(parts)
         placed = wide.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
         mixed = placed.groupBy("key", "size").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         open_rows = placed.drop("size").join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("cuts")), "key").join(
@@ -455,18 +464,17 @@ def _parts(texts: DataFrame, sketches: DataFrame, size: int, num: int, den: int)
         found = blocks.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(run, schema)
         found = written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
         new = written(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        fresh = written(_verify(new, texts, size, num, den), "similar")
-        made += [parts, found, new, fresh]
-        links = links.union(fresh)
+        links = written(_verify(new, texts, size, num, den), "similar")
+        made += [found, new, links]
         _release(spark)
         if found.where("more = 1").isEmpty():
             break  # every admitted pair across components is verified or refuted
         tried = tried.union(new)
-        most *= 16 if fresh.isEmpty() else 2
-    whole = components(links).withColumnRenamed("node", "rep")
+        most *= 16 if links.isEmpty() else 2
+    whole = _grown(parts, links)
     for table in (wide, *made):
         drop_written(table)
-    return whole
+    return whole.withColumnRenamed("node", "rep")
 
 
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 from pyarrow import fs as pafs  # noqa: E402
-from structjson.llm import embeddings, jaccard, mixing, packing, quality, warc  # noqa: E402
+from structjson.llm import common, embeddings, jaccard, mixing, packing, quality, warc  # noqa: E402
 from structjson.llm.common import components, fresh_path  # noqa: E402
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, mix_weight string, q_doc string, rep int, key int"
@@ -142,3 +142,14 @@ def public_path():
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """Rounds of tiny tasks took longer than all else on large groups of copies."""
+    made, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, tag: made.append(tag) or write(df, tag))
+    links = spark.sql("select id * 7919 % 1009 as a, (id + 1) * 7919 % 1009 as b from range(600) union all select id * 2 + 2000, id * 2 + 2002 from range(40)")
+    one = {tuple(r) for r in components(links).collect()}
+    assert len(made) == 1 and {c for _, c in one} == {0, 2000}
+    monkeypatch.setattr(common, "FEW_LINKS", 0)
+    assert {tuple(r) for r in components(links).collect()} == one and len(made) > 2
