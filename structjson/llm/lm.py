@@ -163,18 +163,21 @@ def _hidden(p: dict, ctx: np.ndarray) -> np.ndarray:
 
 
 def _ways(p: dict, h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By level and place: the node's row, the gated hidden units, and the logits of its ways."""
-    of = p["nodes"].take(node, 0)
-    gated = of[:, :, :HIDDEN] * h
+    """By level and place: below the root the node's row, the gated hidden units, and the logits of its ways."""
+    of, root = p["nodes"].take(node[1:], 0), p["nodes"][0]
+    gated = np.empty((len(node), *h.shape), h.dtype)
+    np.multiply(h, root[:HIDDEN], out=gated[0])
+    np.multiply(h, of[:, :, :HIDDEN], out=gated[1:])
     z = np.matmul(gated, p["w"])
-    z += of[:, :, HIDDEN:]
+    z[0] += root[HIDDEN:]
+    z[1:] += of[:, :, HIDDEN:]
     return of, gated, np.minimum(z, 80, out=z)
 
 
 def log_probabilities(p: dict, tree: tuple[np.ndarray, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log probability of each target id in its context."""
     _, _, z = _ways(p, _hidden(p, ctx), tree[0].take(target, 1))
-    taken = np.take_along_axis(z, tree[1].take(target, 1)[:, :, None], 2)[:, :, 0]
+    taken = z.reshape(-1).take(tree[1].take(target, 1) + np.arange(0, z.size, SIDE).reshape(z.shape[:2]))
     total = np.exp(z) @ _ONES
     if not total.min() > 1e-30:  # all ways of a node are far below zero
         most = z.max(2)
@@ -182,17 +185,11 @@ def log_probabilities(p: dict, tree: tuple[np.ndarray, np.ndarray], ctx: np.ndar
     return (taken - np.log(total)).sum(0)
 
 
-def _add_up(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the rows of ``values``, repeated to the length of ``index``, with equal ``index``; and these indices."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")  # there are fewer than 2**16 rows of any table
-    which = index.take(order)
-    first = np.r_[True, which[1:] != which[:-1]]
-    times, n = values.shape[1], int(first.sum())
-    place = np.empty(len(index), np.int64)
-    place[order] = (np.cumsum(first) - 1) * times
-    cells = place[:, None] + np.arange(times)
-    spread = np.broadcast_to(values, (len(index) // len(values), *values.shape))
-    return which[first], np.bincount(cells.ravel(), spread.ravel(), n * times).reshape(n, times).astype(np.float32)
+def _add_up(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """For each of ``rows`` numbers, the sum of the rows of ``values`` whose ``index`` it is."""
+    times = values.shape[1]
+    cells = index[:, None] * times + np.arange(times)
+    return np.bincount(cells.ravel(), values.ravel(), rows * times).astype(np.float32).reshape(rows, times)
 
 
 def train(flat: np.ndarray, levels: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1) -> tuple[np.ndarray, int]:
@@ -201,10 +198,12 @@ def train(flat: np.ndarray, levels: int, batches: Iterator[tuple[np.ndarray, np.
     p, seen, tree = views(flat, levels), 0, paths(levels)
     square = views(np.full(len(flat), 0.1, np.float32), levels)
 
-    def step(name: str, g: np.ndarray, at=slice(None)) -> None:
-        s = square[name][at] + g * g
-        square[name][at] = s
-        p[name][at] -= rate * g / np.sqrt(s)
+    def step(name: str, g: np.ndarray, at: slice = slice(None)) -> None:
+        s = square[name][at]
+        s += g * g
+        g *= rate
+        g /= np.sqrt(s)
+        p[name][at] -= g
 
     for ctx, target in batches:
         n = len(target)
@@ -212,24 +211,27 @@ def train(flat: np.ndarray, levels: int, batches: Iterator[tuple[np.ndarray, np.
         node, way = tree[0].take(target, 1), tree[1].take(target, 1)
         of, gated, z = _ways(p, h, node)
         np.exp(z, out=z)
-        z /= np.maximum(z @ _ONES, 1e-30)[:, :, None]
-        z.reshape(-1, SIDE)[np.arange(levels * n), way.ravel()] -= 1
-        z /= n
+        z /= (np.maximum(z @ _ONES, 1e-30) * np.float32(n))[:, :, None]
+        z.reshape(-1)[np.arange(0, z.size, SIDE) + way.ravel()] -= np.float32(1 / n)
         back = np.matmul(z, p["w"].transpose(0, 2, 1))
-        dh = np.einsum("knh,knh->nh", back, of[:, :, :HIDDEN])
-        back *= h
-        both = np.concatenate([back, z], 2)
+        dh = back[0] * p["nodes"][0, :HIDDEN]
+        for of_level, back_level in zip(of, back[1:]):
+            dh += back_level * of_level[:, :HIDDEN]
+        both = np.empty((levels, n, HIDDEN + SIDE), z.dtype)
+        np.multiply(back, h, out=both[:, :, :HIDDEN])
+        both[:, :, HIDDEN:] = z
         step("w", np.matmul(gated.transpose(0, 2, 1), z))
-        step("nodes", both[0].sum(0, keepdims=True), slice(0, 1))
+        step("nodes", np.ones((1, n), z.dtype) @ both[0], slice(0, 1))
         member = (node[1] == np.arange(1, 1 + SIDE)[:, None]).astype(np.float32)
         step("nodes", member @ both[1], slice(1, 1 + SIDE))
         if levels > 2:
-            at, g = _add_up(node[2:].ravel(), both[2:].reshape(-1, HIDDEN + SIDE))
-            step("nodes", g, at)
+            low = 1 + SIDE
+            step("nodes", _add_up(node[2:].ravel() - low, both[2:].reshape(-1, HIDDEN + SIDE), len(p["nodes"]) - low), slice(low, None))
         dh *= 1 - h * h
         step("b", dh.sum(0))
-        at, g = _add_up(ctx.ravel(), dh)
-        step("ctx", g, at)
+        dh = dh.astype(np.float64)
+        for low, c in zip(range(0, len(p["ctx"]), 2 * CONTEXTS), ctx):  # rows that occur nowhere get 0
+            step("ctx", _add_up(c - low, dh, 2 * CONTEXTS), slice(low, low + 2 * CONTEXTS))
         seen += n
     return flat, seen
 

@@ -123,3 +123,12 @@ def test_vocabulary_grows_with_the_corpus(spark):
     assert model.shared_total.sum() == sum(n for _, n in model.head)
     assert lm.vocabulary(words.limit(100)).levels == 2
     assert lm._least_count(words, 10**9) == 25 and 25 < lm._least_count(words, 3000) < 6025
+
+
+def test_sums_by_row_cover_the_table():
+    """Rows that occur nowhere get 0, so a step takes the whole table and nothing is sorted."""
+    rng = np.random.default_rng(3)
+    index, values = rng.integers(0, 40, 500), rng.normal(size=(500, 5)).astype(np.float32)
+    got = lm._add_up(index, values, 50)
+    want = np.array([values[index == k].astype(float).sum(0) for k in range(50)])
+    assert got.dtype == np.float32 and got.shape == (50, 5) and np.allclose(got, want, atol=1e-5) and not got[40:].any()
