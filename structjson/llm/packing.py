@@ -32,14 +32,20 @@ class ChunkIds(dict):
     The tokenizer lower-cases and splits letters from punctuation before its
     merges, so a chunk of letters and a tail of ASCII punctuation is looked up as
     its lower-cased letters and its tail. Unknown words go to the tokenizer
-    together: each ends with the one token of its own that closes a word.
+    together: each ends with the one token of its own that closes a word. Words of
+    Latin-1, which are in normal form, skip what they have behind them (``plain``).
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -51,25 +57,39 @@ class ChunkIds(dict):
             return "", ""  # sigma: str.lower() looks at its place in the word
         return stem.lower(), chunk[len(stem) :]
 
+    def word_ids(self, words: list[str]) -> np.ndarray:
+        """The ids of lower-cased words of letters, one after the other."""
+        text = " ".join(words)
+        try:
+            text.encode("latin-1")
+            tokenizer = self.plain
+        except UnicodeEncodeError:
+            tokenizer = self.tokenizer
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def learn(self, chunks: set[str]) -> None:
         """Make every chunk known."""
         if len(self) + len(chunks) > CACHE:
             self.clear()
-        split = {c: self.parts(c) for c in chunks}
-        words = [w for w in {w for w, _ in split.values()} if w and w.isalpha() and w not in self]
+        words, rest = set(), []
+        for c in chunks:
+            word, tail = (c.lower(), "") if c.isascii() and c.isalpha() else self.parts(c)
+            if word and word not in self and word.isalpha():
+                words.add(word)
+            if word and word != c:
+                rest.append((c, word, tail))
         if words:
-            ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            words = list(words)
+            ids = self.word_ids(words)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(words):
                 buf, at = ids.tobytes(), 0
                 for w, end in zip(words, (4 * ends).tolist()):
                     self[w] = buf[at:end]
                     at = end
-        for c, (word, tail) in split.items():
-            if word in self and tail:
-                self[c] = self[word] + self[tail]
-            elif word in self:
-                self[c] = self[word]
+        for c, word, tail in rest:
+            if word in self:
+                self[c] = self[word] + self[tail] if tail else self[word]
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -87,6 +107,11 @@ def chunk_ids(path: str) -> ChunkIds:
     return _known[path]
 
 
+def split_chunks(text: str) -> list[str]:
+    """What lies between blanks, tabs and line ends."""
+    return list(filter(None, text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")))
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Tokenise each text, end it with ``end_id`` and cut what exceeds ``capacity``.
 
@@ -94,9 +119,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     ids are cached by chunk; chunks are cut at blanks, tabs and line ends only,
     which are white space in every definition.
     """
-    import re
-
-    blanks = re.compile("[ \t\n\r]+")
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +127,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                chunks = list(filter(None, blanks.split(text)))
-                if new := {c for c in chunks if c not in ids}:
-                    ids.learn(new)
-                    buf = b"".join([ids[c] for c in chunks]) + end
-                else:
-                    buf = b"".join(map(ids.__getitem__, chunks)) + end
+                chunks = split_chunks(text)
+                found = list(map(ids.get, chunks))
+                if None in found:
+                    ids.learn({c for c, x in zip(chunks, found) if x is None})
+                    found = map(ids.__getitem__, chunks)
+                buf = b"".join(found) + end
                 for piece, at in enumerate(range(0, len(buf), 4 * capacity)):
                     part = buf[at : at + 4 * capacity]
                     for col, x in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):

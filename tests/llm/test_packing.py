@@ -40,3 +40,20 @@ def test_as_few_bins_as_item_by_item(seed):
         histogram = {n: c for n, c in histogram.items() if n <= capacity // 3} or {1: 9}
     least = -(-sum(n * c for n, c in histogram.items()) // capacity)
     assert least <= _bins(histogram, capacity) <= max(least, round(1.02 * _one_by_one(histogram, capacity, capacity)))
+
+
+def test_chunks_have_the_tokenizer_s_ids():
+    """Whichever way they are learned; every letter of Latin-1 occurs in words that skip the normaliser."""
+    from structjson.llm.queries import tokenizer_path
+
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(2000)] + letters
+    odd = ["été", "İ", "Ǆx", "Σσ", "a\xa0b", "a\x0bb", "a B", "it's", "x1y", "...", "漢字", "한글,", "ﬁn"]
+    ids = packing.ChunkIds(tokenizer_path())
+    own = lambda text: ids.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.word_ids([w.lower() for w in words]).tolist() == own(" ".join(words))
+    for chunks in (words, [w + rng.choice("., !?)").strip() for w in words] + odd):
+        ids.learn({c for c in chunks if c not in ids})
+        assert all(ids[c] == b"".join(i.to_bytes(4, "little") for i in own(c)) for c in chunks)
+    assert packing.split_chunks(" a\t\r\nb\xa0c  d\x0be\n") == ["a", "b\xa0c", "d\x0be"] and packing.split_chunks("\n ") == []
