@@ -213,6 +213,36 @@ def _explained(p: np.ndarray, q: np.ndarray, pixels: float = 2.5) -> np.ndarray:
     return np.where(sane, near.sum(2), 0).max(1)
 
 
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """``np.unique``, which hashes integers and is slower than to sort them."""
+    codes = np.sort(codes)
+    return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
+
+
+def _matches(words: np.ndarray, lacks: np.ndarray, u: np.ndarray, v: np.ndarray, hamming: int) -> tuple[np.ndarray, np.ndarray]:
+    """By corner of the images ``u`` and pair: the corner of ``v`` that is nearest, and whether each is the other's nearest, within ``hamming`` bits.
+
+    The pairs are the last axis, along which numpy takes the least of many at once. Of
+    equally near corners the first counts.
+    """
+    corners = words.shape[1]
+    x, y = (np.ascontiguousarray(words[w].transpose(2, 1, 0)) for w in (u, v))
+    d = np.bitwise_count(x[0][:, None] ^ y[0][None])
+    for k in range(1, len(x)):
+        d += np.bitwise_count(x[k][:, None] ^ y[k][None])
+    d |= np.ascontiguousarray(lacks[u].T)[:, None]
+    d |= np.ascontiguousarray(lacks[v].T)[None]
+    # A distance and a corner in one number; distances are below 256.
+    kind = np.uint16 if corners <= 256 else np.uint32
+    d = d.astype(kind)
+    d *= kind(corners)
+    number = np.arange(corners, dtype=kind)
+    to = (d + number[None, :, None]).min(1)
+    back = (d + number[:, None, None]).min(0) % kind(corners)
+    near, to = np.divmod(to, kind(corners))
+    return to, (near <= hamming) & (np.take_along_axis(back, to.astype(np.intp), 0) == number[:, None])
+
+
 def _meetings(lying: tuple, piece: np.ndarray, group: np.ndarray, side: np.ndarray | None, words: np.ndarray, near: int, star: bool) -> Iterator[np.ndarray]:
     """Pairs ``x, y`` of images of different groups (and sides) that meet in a slot of one slice, as ``x * images + y``, x below y.
 
@@ -222,7 +252,7 @@ def _meetings(lying: tuple, piece: np.ndarray, group: np.ndarray, side: np.ndarr
     """
     who, a, b, lies = lying
     slot = (lies.astype(np.int64) << SLICE | piece[who, a]) << SLICE | piece[who, b]
-    order = np.argsort(slot * len(group) + group[who], kind="stable")
+    order = np.argsort(slot * len(group) + group[who])
     slot, who, a, b = slot[order], who[order], a[order], b[order]
     start = np.r_[True, slot[1:] != slot[:-1]]
     low = np.flatnonzero(start)[np.cumsum(start) - 1] if len(slot) else slot
@@ -253,18 +283,21 @@ def _meetings(lying: tuple, piece: np.ndarray, group: np.ndarray, side: np.ndarr
                     yield np.repeat(r, k), np.arange(k.sum()) + np.repeat(after[r] - (np.cumsum(k) - k), k)
 
             parts = expand()
+    held = [[words[who, c, k] for k in range(words.shape[2])] for c in (a, b)]
+    group, side = group[who], None if side is None else side[who]
     for i, j in parts:
-        x, y = who[i], who[j]
-        apart = (x != y) & (group[x] != group[y])
+        apart = (who.take(i) != who.take(j)) & (group.take(i) != group.take(j))
         if side is not None:
-            apart &= side[x] != side[y]
+            apart &= side.take(i) != side.take(j)
         i, j = i[apart], j[apart]
-        for c in (a, b):
-            x, y = who[i], who[j]
-            d = sum(np.bitwise_count(words[x, c[i], k] ^ words[y, c[j], k]).astype(np.int16) for k in range(words.shape[2]))
-            i, j = i[d <= near], j[d <= near]
+        for c in held:
+            d = np.uint8(0)
+            for own in c:
+                d = d + np.bitwise_count(own.take(i) ^ own.take(j))
+                close = np.flatnonzero(d <= near)
+                i, j, d = i.take(close), j.take(close), d.take(close)
         x, y = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
-        yield np.unique(x.astype(np.int64) * len(words) + y)
+        yield _distinct(x.astype(np.int64) * len(words) + y)
 
 
 def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
@@ -277,7 +310,7 @@ def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched:
     lying = _neighbours([x[1] for x in images])
     least = np.clip([len(x[2]) for x in images], 4, matched)
     root = np.arange(size)
-    batch = max(1, (1 << 20) // words.shape[1] ** 2)
+    batch = max(1, (1 << 19) // words.shape[1] ** 2)
     tried = np.zeros(0, np.int64)
     # First what joins large groups of copies, then every meeting that is left; slice by slice, which bounds memory.
     for star, k in [(star, k) for star in (True, False) for k in range(SLICES)]:
@@ -291,12 +324,7 @@ def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched:
                 u, v = u[new], v[new]
                 if not len(u):
                     continue
-                d = np.bitwise_count(words[u][:, :, None, 0] ^ words[v][:, None, :, 0])
-                for w in range(1, BITS // 64):
-                    d += np.bitwise_count(words[u][:, :, None, w] ^ words[v][:, None, :, w])
-                d |= lacks[u][:, :, None] | lacks[v][:, None, :]
-                j_of, i_of = d.argmin(2), d.argmin(1)
-                good = (np.take_along_axis(i_of, j_of, 1) == np.arange(d.shape[1])) & (np.take_along_axis(d, j_of[:, :, None], 2)[:, :, 0] <= hamming)
+                j_of, good = (np.ascontiguousarray(x.T) for x in _matches(words, lacks, u, v, hamming))
                 n = good.sum(1)
                 need = np.minimum(least[u], least[v])
                 for count in np.unique(n[n >= need]).tolist():
@@ -308,7 +336,7 @@ def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched:
                         if root[x] != root[y]:
                             root[root == root[y]] = root[x]
                             yield images[x][0], images[y][0]
-        tried = np.unique(np.concatenate(seen))
+        tried = _distinct(np.concatenate(seen))
 
 
 def _block_copies(near: int, matched: int, explained: float):

@@ -72,3 +72,21 @@ def test_images_in_odd_states(spark):
     got = sorted(((r.image_id or 0, r.n_corners, r.component_id) for r in images.image_copies(d).collect()), key=str)
     assert got == sorted([(0, 0, None), (1, 0, 1), (1, 0, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6)], key=str)
     assert images.image_copies(d.limit(0)).count() == 0
+
+
+def test_matches_are_mutual_nearest_corners():
+    """As corner by corner: ties go to the first corner, corners that an image lacks match nothing."""
+    rng = np.random.default_rng(8)
+    bits = [rng.integers(0, 4, (c, 16), dtype=np.uint8) * 85 for c in (9, 4, 7, 9, 2, 9)]
+    bits[3] = bits[0][::-1] ^ (rng.random((9, 16)) < 0.1).astype(np.uint8)
+    words, lacks = images._padded(bits)
+    u, v = np.triu_indices(len(bits), 1)
+    to, good = images._matches(words, lacks, u, v, 20)
+    seen = 0
+    for k, (x, y) in enumerate(zip(u, v)):
+        d = np.bitwise_count(bits[x][:, None] ^ bits[y][None]).astype(int).sum(2)
+        j = d.argmin(1)
+        want = {(i, j[i]) for i in range(len(d)) if d[i, j[i]] <= 20 and d.argmin(0)[j[i]] == i}
+        assert {(i, to[i, k]) for i in np.flatnonzero(good[:, k])} == want
+        seen += len(want)
+    assert seen
