@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -27,13 +28,15 @@ RADIUS = 7
 BITS = 128
 #: Corners nearest to each with which it shares slots; bits of a slice; slices of a descriptor.
 NEIGHBOURS, SLICE, SLICES = 6, 12, 8
+#: Slices in which rows first meet only the first of their slot, which joins large groups.
+STARS = 1
 _rng = np.random.default_rng(7)
 #: Two points of the patch for each test.
 TESTS = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS, RADIUS)
 _YX = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RADIUS + 1), indexing="ij"), -1).reshape(-1, 2)
 _DISC = _YX[(_YX**2).sum(1) <= RADIUS**2]
 FEATURES = "image_id long, places array<float>, bits binary, digest binary"
-#: Images of a block; each pair of blocks is compared by one task.
+#: Half the images that a task compares, about.
 BLOCK = 8192
 
 
@@ -154,27 +157,39 @@ def image_features(images: DataFrame, corners: int = CORNERS) -> DataFrame:
 
 
 def _neighbours(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all images: the image, a corner, a neighbour of it, and how the two lie to each other."""
+    """Of all images: the image, a corner, a neighbour of it, and a number for how the two lie to each other; by image."""
     out: list[tuple] = []
     turn = lambda x: np.floor(x % (2 * np.pi) / (2 * np.pi) * 8).astype(np.int64) & 7
-    for image, at in enumerate(places):
-        if len(at) < 2:
-            continue
-        p = at[:, 0] + 1j * at[:, 1]
-        gap = np.abs(p[:, None] - p[None])
-        gap[gap < 4] = np.inf
-        near = np.argsort(gap, 1, kind="stable")[:, :NEIGHBOURS]
-        a, b = np.repeat(np.arange(len(at)), near.shape[1]), near.ravel()
-        known = np.isfinite(gap[a, b])
-        a, b = a[known], b[known]
+    width = max((len(x) for x in places), default=0)
+    step = max(1, (1 << 20) // max(1, width) ** 2)
+    for first in range(0, len(places) if width > 1 else 0, step):
+        part = places[first : first + step]
+        held = np.array([len(x) for x in part])
+        at = np.zeros((len(part), width, 4), np.float32)
+        here = np.arange(width) < held[:, None]
+        at[here] = np.concatenate(part)
+        p = at[..., 0] + 1j * at[..., 1]
+        gap = np.abs(p[:, :, None] - p[:, None])
+        gap[(gap < 4) | ~(here[:, :, None] & here[:, None])] = np.inf
+        # Distances sort like their bits; of equal ones the first corner counts.
+        near = np.sort(gap.view(np.uint32).astype(np.uint64) << np.uint64(32) | np.arange(width, dtype=np.uint64), 2)[:, :, :NEIGHBOURS]
+        image, a, rank = np.nonzero((near >> np.uint64(32)).astype(np.uint32).view(np.float32) < np.inf)
+        b = (near[image, a, rank] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        one, two = at[image, a], at[image, b]
         # Where the neighbour lies, seen from the corner's own direction, size and scale.
-        lies = turn(np.angle(p[b] - p[a]) - at[a, 3]) * 8 + turn(at[b, 3] - at[a, 3])
-        lies = lies * 16 + np.rint(2 * np.log2(at[b, 2] / at[a, 2])).astype(np.int64) + 4
-        lies = lies * 64 + np.floor(2 * np.log2(gap[a, b] * at[a, 2] / 4)).astype(np.int64) + 8
-        out.append((np.full(len(a), image, np.int32), a.astype(np.int16), b.astype(np.int16), lies.astype(np.int32)))
+        lies = turn(np.angle(p[image, b] - p[image, a]) - one[:, 3]) * 8 + turn(two[:, 3] - one[:, 3])
+        lies = lies * 16 + np.rint(2 * np.log2(two[:, 2] / one[:, 2])).astype(np.int64) + 4
+        lies = lies * 64 + np.floor(2 * np.log2(gap[image, a, b] * one[:, 2] / 4)).astype(np.int64) + 8
+        out.append(((image + first).astype(np.int32), a.astype(np.int16), b.astype(np.int16), lies.astype(np.int32)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int32, np.int16, np.int16, np.int32))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    who, a, b, lies = (np.concatenate(x) for x in zip(*out))
+    if len(lies):  # numbers without gaps, so that slots take few bits
+        lies -= lies.min()
+        used = np.zeros(lies.max() + 1, np.int32)
+        used[lies] = 1
+        lies = (np.cumsum(used, dtype=np.int32) - 1)[lies]
+    return who, a, b, lies
 
 
 def _pieces(words: np.ndarray, k: int) -> np.ndarray:
@@ -202,15 +217,33 @@ def _points(places: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def _explained(p: np.ndarray, q: np.ndarray, pixels: float = 2.5) -> np.ndarray:
-    """As in :func:`consensus`, how many of its matches ``p, q`` one transform explains; a row is a pair of images."""
-    u, v = np.triu_indices(p.shape[1], 1)
-    gap = p[:, u] - p[:, v]
-    far = np.abs(gap) > 4
-    m = (q[:, u] - q[:, v]) / np.where(far, gap, 1)
-    sane = far & (np.abs(m) > 0.3) & (np.abs(m) < 3.4)
-    off = q[:, u] - m * p[:, u]
-    near = np.abs(m[:, :, None] * p[:, None] + off[:, :, None] - q[:, None]) <= pixels
-    return np.where(sane, near.sum(2), 0).max(1)
+    """As in :func:`consensus`, how many of its matches ``p, q`` one transform explains; a column is a pair of images.
+
+    In real numbers, with the pairs as the last axis, which numpy does many at once.
+    """
+    best = np.zeros(p.shape[1], np.uint16)
+    for u in range(len(p) - 1):
+        # All corners seen from corner u; a transform takes u and a later corner to their matches.
+        px, py, qx, qy = (np.ascontiguousarray(y) for x in (p - p[u], q - q[u]) for y in (x.real, x.imag))
+        ax, ay, bx, by = (x[u + 1 :] for x in (px, py, qx, qy))
+        size = ax * ax + ay * ay
+        far = size > 16
+        size[~far] = 1
+        mx, my = (bx * ax + by * ay) / size, (by * ax - bx * ay) / size
+        scale = mx * mx + my * my
+        far &= (scale > 0.3**2) & (scale < 3.4**2)
+        dx = mx[:, None] * px
+        dx -= my[:, None] * py
+        dx -= qx
+        dy = mx[:, None] * py
+        dy += my[:, None] * px
+        dy -= qy
+        dx *= dx
+        dy *= dy
+        dx += dy
+        inside = (dx <= pixels * pixels).sum(1, dtype=np.uint16)
+        np.maximum(best, np.where(far, inside, 0).max(0), out=best)
+    return best
 
 
 def _distinct(codes: np.ndarray) -> np.ndarray:
@@ -227,140 +260,240 @@ def _matches(words: np.ndarray, lacks: np.ndarray, u: np.ndarray, v: np.ndarray,
     """
     corners = words.shape[1]
     x, y = (np.ascontiguousarray(words[w].transpose(2, 1, 0)) for w in (u, v))
-    d = np.bitwise_count(x[0][:, None] ^ y[0][None])
-    for k in range(1, len(x)):
-        d += np.bitwise_count(x[k][:, None] ^ y[k][None])
-    d |= np.ascontiguousarray(lacks[u].T)[:, None]
-    d |= np.ascontiguousarray(lacks[v].T)[None]
+    lack_x, lack_y = (np.ascontiguousarray(lacks[w].T) for w in (u, v))
+    some = lack_x.any() or lack_y.any()
     # A distance and a corner in one number; distances are below 256.
     kind = np.uint16 if corners <= 256 else np.uint32
-    d = d.astype(kind)
-    d *= kind(corners)
-    number = np.arange(corners, dtype=kind)
-    to = (d + number[None, :, None]).min(1)
-    back = (d + number[:, None, None]).min(0) % kind(corners)
+    number = np.arange(corners, dtype=kind)[:, None]
+    to = np.empty((corners, len(u)), kind)
+    back = np.full(to.shape, np.iinfo(kind).max, kind)
+    for i in range(corners):
+        d = np.bitwise_count(x[0][i] ^ y[0])
+        for k in range(1, len(x)):
+            d += np.bitwise_count(x[k][i] ^ y[k])
+        if some:
+            d |= lack_x[i]
+            d |= lack_y
+        d = d.astype(kind)
+        d *= kind(corners)
+        np.minimum(back, d + kind(i), out=back)
+        d += number
+        d.min(0, out=to[i])
+    back %= kind(corners)
     near, to = np.divmod(to, kind(corners))
-    return to, (near <= hamming) & (np.take_along_axis(back, to.astype(np.intp), 0) == number[:, None])
+    return to, (near <= hamming) & (np.take_along_axis(back, to.astype(np.intp), 0) == number)
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that have partners, the number of their partners ``begin`` up to ``end``, and all these partners, in parts of about ``most``."""
+    rows = np.flatnonzero(end > begin)
+    begin = begin[rows]
+    n = end[rows] - begin
+    total = np.cumsum(n)
+    pieces = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, most), "left")
+    for at, to in zip(pieces, [*pieces[1:], len(rows)]):
+        k = n[at:to]
+        yield rows[at:to], k, np.arange(k.sum()) + np.repeat(begin[at:to] - (np.cumsum(k) - k), k)
 
 
 def _meetings(lying: tuple, piece: np.ndarray, group: np.ndarray, side: np.ndarray | None, words: np.ndarray, near: int, star: bool) -> Iterator[np.ndarray]:
-    """Pairs ``x, y`` of images of different groups (and sides) that meet in a slot of one slice, as ``x * images + y``, x below y.
+    """Pairs ``x, y`` of images of different groups that meet in a slot of one slice, as ``x * images + y``, x below y.
 
-    Both corners and neighbours must be within ``near`` bits. ``star`` pairs each row
-    with the first of its slot on the other side only; otherwise all rows of a slot
-    meet those of other groups, in pieces of a few million.
+    Images of one side do not meet, unless it is below 0. Both corners and neighbours
+    must be within ``near`` bits. ``star`` pairs each row with the first of its slot only,
+    of whatever side; otherwise all rows of a slot meet, in pieces of about a million.
     """
     who, a, b, lies = lying
-    slot = (lies.astype(np.int64) << SLICE | piece[who, a]) << SLICE | piece[who, b]
-    order = np.argsort(slot * len(group) + group[who])
-    slot, who, a, b = slot[order], who[order], a[order], b[order]
-    start = np.r_[True, slot[1:] != slot[:-1]]
-    low = np.flatnonzero(start)[np.cumsum(start) - 1] if len(slot) else slot
+    if not len(who):
+        return
+    size, corners = words.shape[:2]
+    a, b = (who.astype(np.int64) * corners + x for x in (a, b))
+    # Images of a run do not meet: those of a group, or of a side apart from groups that others have a part in.
+    run = group
+    if side is not None and not star:
+        low, high = np.full(size, size), np.full(size, -1)
+        np.minimum.at(low, group, side)
+        np.maximum.at(high, group, side)
+        run = np.where((side < 0) | (low < high)[group], group, size + side)
+    # Rows are numbered by the run of their image; so numbered they lie in their slot.
+    order = np.argsort(run, kind="stable")
+    count = np.bincount(who, minlength=size)
+    runs = np.repeat(run[order], count[order])
+    moved = np.zeros(size, np.int64)
+    moved[order] = np.cumsum(count[order]) - count[order]
+    moved -= np.cumsum(count) - count
+    row = np.arange(len(who)) + moved[who]
+    at = np.empty_like(row)
+    at[row] = np.arange(len(who))
+    piece = piece.ravel().astype(np.int64)
+    slot = (lies.astype(np.int64) << SLICE | piece[a]) << SLICE | piece[b]
+    bits = len(who).bit_length()
+    if int(slot.max()).bit_length() + bits > 63:
+        slot = np.unique(slot, return_inverse=True)[1]
+    # A slot and a row in one number, which sorts several times as fast as by argsort.
+    slot <<= bits
+    slot |= row
+    slot.sort()
+    row = slot & ((1 << bits) - 1)
+    slot >>= bits
+    low = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    length = np.diff(np.r_[low, len(slot)])
+    del slot, piece  # arrays of all rows take most of a task's memory
+    # Slots of a single run go.
+    meets = runs[row[low]] != runs[row[low + length - 1]]
+    row, length = row[np.repeat(meets, length)], length[meets]
+    if not len(row):
+        return
+    low = np.cumsum(length) - length
+    end = np.repeat(low + length, length)
     if star:
-        rows = np.arange(len(slot))
-        other = [low]
-        if side is not None:  # the first row of each side
-            of = side[who]
-            other = [np.minimum.reduceat(np.where(of == s, rows, len(rows)), np.flatnonzero(start))[np.cumsum(start) - 1] for s in (0, 1)] if len(slot) else []
-        parts = [(np.flatnonzero(o < len(rows)), o[o < len(rows)]) for o in other]
+        begin = np.repeat(low, length)
+        end = begin + 1
     else:
-        last = np.r_[slot[1:] != slot[:-1], True]
-        high = np.flatnonzero(last)[np.cumsum(start) - 1] + 1 if len(slot) else slot
-        g = group[who]
-        cut = np.flatnonzero(np.r_[(slot[1:] != slot[:-1]) | (g[1:] != g[:-1]), True]) + 1
-        after = cut[np.searchsorted(cut, np.arange(len(slot)), "right")] if len(slot) else slot  # first row of the next group
-        n = high - after
-        rows = np.flatnonzero(n > 0)
-        total = np.cumsum(n[rows])
-        parts = []
-        if len(rows):
-            pieces = np.searchsorted(total, np.arange(0, total[-1], 2_000_000), "left")
-
-            def expand():
-                for at, to in zip(pieces, [*pieces[1:], len(rows)]):
-                    r = rows[at:to]
-                    k = n[r]
-                    yield np.repeat(r, k), np.arange(k.sum()) + np.repeat(after[r] - (np.cumsum(k) - k), k)
-
-            parts = expand()
-    held = [[words[who, c, k] for k in range(words.shape[2])] for c in (a, b)]
-    group, side = group[who], None if side is None else side[who]
-    for i, j in parts:
-        apart = (who.take(i) != who.take(j)) & (group.take(i) != group.take(j))
+        starts = runs[row]
+        starts = np.r_[True, starts[1:] != starts[:-1]]
+        starts[low] = True
+        starts = np.flatnonzero(starts)
+        begin = np.r_[starts[1:], len(row)]
+        begin = np.repeat(begin, begin - starts)
+    at = at[row]
+    who, a, b = who[at], a[at], b[at]
+    del row, runs, at
+    g, side = group[who], None if side is None or star else side[who]
+    held = [np.ascontiguousarray(words[:, :, k]).ravel()[c] for c in (a, b) for k in range(words.shape[2])]
+    del a, b
+    for i, k, j in _ranges(begin, end):
+        d = np.bitwise_count(np.repeat(held[0][i], k) ^ held[0][j])
+        close = np.flatnonzero(d <= near)
+        i, j, d = np.repeat(i, k)[close], j[close], d[close]
+        for n in range(1, len(held)):
+            own = np.bitwise_count(held[n][i] ^ held[n][j])
+            d = own + d if n % words.shape[2] else own
+            close = np.flatnonzero(d <= near)
+            i, j, d = i[close], j[close], d[close]
+        apart = g[i] != g[j]
         if side is not None:
-            apart &= side.take(i) != side.take(j)
-        i, j = i[apart], j[apart]
-        for c in held:
-            d = np.uint8(0)
-            for own in c:
-                d = d + np.bitwise_count(own.take(i) ^ own.take(j))
-                close = np.flatnonzero(d <= near)
-                i, j, d = i.take(close), j.take(close), d.take(close)
-        x, y = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
-        yield _distinct(x.astype(np.int64) * len(words) + y)
+            apart &= (side[i] != side[j]) | (side[i] < 0)
+        x, y = who[i[apart]].astype(np.int64), who[j[apart]]
+        yield _distinct(np.minimum(x, y) * size + np.maximum(x, y))
+
+
+def _gathered(parts: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[np.ndarray]:
+    """The numbers of ``parts``, each once among about ``most``."""
+    held, n = [], 0
+    for codes in parts:
+        held.append(codes)
+        n += len(codes)
+        if n > most:
+            yield _distinct(np.concatenate(held))
+            held, n = [], 0
+    if n:
+        yield _distinct(np.concatenate(held))
 
 
 def _copies(first: list[tuple], second: list[tuple] | None, near: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
     """Copies among images ``(id, places, bits)`` of two blocks, or of one; pairs already connected by others are left out."""
-    images = first + (second or [])
-    size = len(images)
     side = None if second is None else np.repeat([0, 1], [len(first), len(second)])
+    return _copies_of(first + (second or []), side, near, matched, explained, hamming)
+
+
+def _copies_of(images: list[tuple], side: np.ndarray | None, near: int, matched: int, explained: float, hamming: int = 20) -> Iterator[tuple[int, int]]:
+    """As :func:`_copies`, of images of any number of blocks ``side``; those of one block are compared with each other only if it is below 0."""
+    size = len(images)
     words, lacks = _padded([x[2] for x in images])
     points = _points([x[1] for x in images], words.shape[1])
     lying = _neighbours([x[1] for x in images])
     least = np.clip([len(x[2]) for x in images], 4, matched)
     root = np.arange(size)
-    batch = max(1, (1 << 19) // words.shape[1] ** 2)
+    batch = max(1, (1 << 20) // words.shape[1] ** 2)
     tried = np.zeros(0, np.int64)
     # First what joins large groups of copies, then every meeting that is left; slice by slice, which bounds memory.
-    for star, k in [(star, k) for star in (True, False) for k in range(SLICES)]:
+    for star, k in [*((True, k) for k in range(STARS)), *((False, k) for k in range(SLICES))]:
         seen = [tried]
-        for codes in _meetings(lying, _pieces(words, k), root.copy(), side, words, near, star):
-            codes = codes[np.searchsorted(tried, codes, "right") == np.searchsorted(tried, codes, "left")]
+        for codes in _gathered(_meetings(lying, _pieces(words, k), root.copy(), side, words, near, star)):
+            if len(tried):
+                codes = codes[tried[np.minimum(np.searchsorted(tried, codes), len(tried) - 1)] != codes]
             seen.append(codes)
-            for at in range(0, len(codes), batch):
-                u, v = np.divmod(codes[at : at + batch], size)
+            for at in range(0, len(codes), 4 * batch):
+                u, v = np.divmod(codes[at : at + 4 * batch], size)
                 new = root[u] != root[v]
                 u, v = u[new], v[new]
                 if not len(u):
                     continue
-                j_of, good = (np.ascontiguousarray(x.T) for x in _matches(words, lacks, u, v, hamming))
-                n = good.sum(1)
                 need = np.minimum(least[u], least[v])
+                # The matches of all these pairs: pair, corner, corner.
+                found = []
+                for part in range(0, len(u), batch):
+                    to, good = _matches(words, lacks, u[part : part + batch], v[part : part + batch], hamming)
+                    pair, i = np.nonzero(good.T)
+                    found.append((pair + part, i, to[i, pair]))
+                pair, i, j = (np.concatenate(x) for x in zip(*found))
+                n = np.bincount(pair, minlength=len(u))
+                begin = np.cumsum(n) - n
                 for count in np.unique(n[n >= need]).tolist():
                     of = np.flatnonzero((n == count) & (n >= need))
-                    i = np.nonzero(good[of])[1].reshape(-1, count)
-                    inside = _explained(points[u[of][:, None], i], points[v[of][:, None], np.take_along_axis(j_of[of], i, 1)])
-                    for m in of[(inside >= need[of]) & (inside >= explained * count)].tolist():
-                        x, y = int(u[m]), int(v[m])
-                        if root[x] != root[y]:
-                            root[root == root[y]] = root[x]
-                            yield images[x][0], images[y][0]
+                    for some in range(0, len(of), step := max(1, (1 << 16) // count**2)):
+                        these = of[some : some + step]
+                        m = begin[these] + np.arange(count)[:, None]
+                        inside = _explained(points[u[these], i[m]], points[v[these], j[m]])
+                        for c in these[(inside >= need[these]) & (inside >= explained * count)].tolist():
+                            x, y = int(u[c]), int(v[c])
+                            if root[x] != root[y]:
+                                root[root == root[y]] = root[x]
+                                yield images[x][0], images[y][0]
         tried = _distinct(np.concatenate(seen))
 
 
 def _block_copies(near: int, matched: int, explained: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(key, held):
-            one, two = ([x[1:] for x in held if x[0] == own] for own in key)
-            if one and two:
-                found = list(_copies(one, None if key[0] == key[1] else two, near, matched, explained))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+        def linked(held):
+            side, images = np.array([x[0] for x in held]), [x[1:] for x in held]
+            found = list(_copies_of(images, side, near, matched, explained))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         now, held = None, []
         for batch in batches:
-            for b1, b2, own, i, p, d in zip(*(c.to_pylist() for c in batch.columns)):
-                if (b1, b2) != now:
+            *rows, places, bits = batch.columns
+            ends = np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False))
+            places = np.split(places.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+            for line, own, i, p, d in zip(*(c.to_pylist() for c in rows), places, bits.to_pylist()):
+                if line != now:
                     if held:
-                        yield from linked(now, held)
-                    now, held = (b1, b2), []
-                held.append((own, i, np.asarray(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)))
+                        yield linked(held)
+                    now, held = line, []
+                held.append((own, i, p.reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)))
         if held:
-            yield from linked(now, held)
+            yield linked(held)
 
     return run
 
 
+def _order(images: int, block: int) -> int:
+    """The prime nearest, in proportion, to the number of times that the images fill two blocks; 2 at least."""
+    want = images / (2 * block)
+    primes = [2]
+    while primes[-1] < want:
+        k = primes[-1] + 1
+        while any(k % p == 0 for p in primes if p * p <= k):
+            k += 1
+        primes.append(k)
+    return min(primes[-2:], key=lambda p: max(p / want, want / p)) if want else 2
+
+
+def _lines(order: int, point: Column) -> Column:
+    """The lines of an affine plane that pass through ``point`` (0 up to ``order`` squared): line, and the point, or -1 on one of them.
+
+    Any two points are on one line together, so that any two images of different points
+    are compared once, and those of a point on the line where it is -1.
+    """
+    x, y = F.floor(point / order).cast("int"), F.pmod(point, F.lit(order)).cast("int")
+    slopes = [
+        F.struct((F.lit(m * order) + F.pmod(y - F.lit(m) * x, F.lit(order))).cast("int").alias("line"), F.when(x == m, F.lit(-1)).otherwise(point).cast("int").alias("own"))
+        for m in range(order)
+    ]
+    return F.array(*slopes, F.struct((F.lit(order * order) + x).cast("int").alias("line"), point.cast("int").alias("own")))
+
+
 def image_copies(images: DataFrame, near: int = 14, matched: int = 6, explained: float = 0.5, corners: int = CORNERS, block: int = BLOCK) -> DataFrame:
     """``image_id, n_corners, component_id`` of every row of ``images(image_id, width, height, pixels)``.
 
@@ -369,8 +502,8 @@ def image_copies(images: DataFrame, near: int = 14, matched: int = 6, explained:
     Hamming tables, with both corners within ``near`` bits, are tried, unless other
     copies of their blocks connect them. They are copies if ``matched`` corners (fewer,
     4 at least, where an image has fewer) and a share of ``explained`` of the matches
-    follow one transform. Blocks of about ``block`` images are compared two by two, so
-    what is sent grows with the square of the images. An image of 64 x 64 pixels has up
+    follow one transform. Each task compares about two blocks of ``block`` images, those on a line of
+    an affine plane over which they are dealt, so what is sent grows with the square of the images. An image of 64 x 64 pixels has up
     to ``corners`` descriptors, its strongest corners, and larger ones more, as their side grows.
 
     Null or malformed pixels and rows without an id match nothing, blank images only
@@ -384,14 +517,11 @@ def image_copies(images: DataFrame, near: int = 14, matched: int = 6, explained:
     links = usable.select("digest", F.col("image_id").alias("b")).join(equal, "digest").select("a", "b").where("a < b")
     one = usable.where("length(bits) > 0").join(equal.withColumnRenamed("a", "image_id"), ["digest", "image_id"]).dropDuplicates(["digest"])
     one = written(one.select("image_id", "places", "bits"), "images")
-    cuts = max(4, -(-one.count() // block))
-    own = F.pmod(F.xxhash64("image_id"), F.lit(cuts)).cast("int")
-    blocks = one.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).select(
-        F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "image_id", "places", "bits"
-    )
-    # A task for each pair of blocks, as far as their numbers spread.
-    tasks = cuts * (cuts + 1) // 2
-    spread = blocks.repartition(tasks, "b1", "b2").sortWithinPartitions("b1", "b2")
+    order = _order(one.count(), block)
+    point = F.pmod(F.xxhash64("image_id"), F.lit(order * order)).cast("int")
+    lines = one.withColumn("at", F.explode(_lines(order, point))).select("at.line", "at.own", "image_id", "places", "bits")
+    # A task for each line: twice as many ranges, so that each line fills one. By id, as a transform explains more of two images one way than the other.
+    spread = lines.repartitionByRange(2 * order * (order + 1), "line").sortWithinPartitions("line", "image_id", "bits")
     same = spread.mapInArrow(_block_copies(near, matched, explained), "a long, b long")
     links = written(links.union(same), "same")
     parts = components(links).withColumnRenamed("node", "image_id")

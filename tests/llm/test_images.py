@@ -90,3 +90,56 @@ def test_matches_are_mutual_nearest_corners():
         assert {(i, to[i, k]) for i in np.flatnonzero(good[:, k])} == want
         seen += len(want)
     assert seen
+
+
+def _noisy(groups, seed, noise):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(groups, 64)), 6, 0)
+    x[np.arange(len(x)) % 6 > 0] += rng.normal(0, noise, (len(x) - groups, 64))
+    return _rendered(x)
+
+
+def test_components_do_not_depend_on_blocks(spark):
+    """Nor on the order of the rows: as when one task compares all images by id."""
+    rows = [(k, 64, 64, bytearray(x.tobytes())) for k, x in enumerate(_noisy(20, 11, 0.4))]
+    all_of = [(k, *d) for k, d in enumerate(images.describe(_noisy(20, 11, 0.4)))]
+    want = _components(len(rows), images._copies(all_of, None, 14, 6, 0.5))
+    d = spark.createDataFrame(rows[::-1], "image_id long, width int, height int, pixels binary")
+    for block in (6, 16, 8192):
+        got = {r.image_id: r.component_id for r in images.image_copies(d, block=block).collect()}
+        assert [got[k] for k in range(len(rows))] == want.tolist()
+    assert len(set(want.tolist())) < len(rows)
+
+
+def test_images_of_one_block_do_not_meet_again(monkeypatch):
+    """What two blocks compare follows the images, however alike those of each block are."""
+    rng = np.random.default_rng(3)
+    places = np.c_[rng.uniform(0, 60, (9, 2)), np.ones(9), rng.uniform(-3, 3, 9)].astype(np.float32)
+    one, two = rng.integers(0, 256, (2, 9, 16), dtype=np.uint8)
+    a, b = [(0, places, one)], [(k, places, two) for k in range(1, 300)]
+    rows = 300 * len(images._neighbours([places])[0])
+    made, repeat = [0], np.repeat
+
+    def counted(*args, **kwargs):
+        out = repeat(*args, **kwargs)
+        made[0] += np.size(out)
+        return out
+
+    monkeypatch.setattr(np, "repeat", counted)
+    found = list(images._copies(a, b, 14, 6, 0.5))
+    assert not any(0 in pair for pair in found)
+    assert made[0] < 20 * images.SLICES * rows
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_two_points_are_on_one_line(spark, order):
+    points = spark.range(order * order)
+    rows = points.select("id", images.F.explode(images._lines(order, images.F.col("id"))).alias("at")).select("id", "at.*").collect()
+    assert sorted({r.line for r in rows}) == list(range(order * (order + 1)))
+    met = [(a.id, b.id) for a in rows for b in rows if a.line == b.line and (a.id < b.id or a.id == b.id and a.own < 0)]
+    assert len(met) == len(set(met)) == order**2 * (order**2 + 1) // 2
+    assert all(r.own in (r.id, -1) for r in rows)
+
+
+def test_tasks_hold_about_two_blocks():
+    assert [images._order(n, 8192) for n in (0, 1, 10_256, 51_282, 100_000, 1_000_000)] == [2, 2, 2, 3, 7, 61]
